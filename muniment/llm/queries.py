@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash
+from . import mixing, quality, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1,
     "op5_mixing": mixing.op5,
+    "op6_quality": quality.op6,
 }
 ORACLES = {
     "op5_mixing": mixing.OP5_SQL,
