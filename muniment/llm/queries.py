@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, simhash
+from . import langid, mixing, quality, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1,
     "op5_mixing": mixing.op5,
     "op6_quality": quality.op6,
+    "op7_langid": langid.op7,
 }
 ORACLES = {
     "op5_mixing": mixing.OP5_SQL,
