@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, quality, simhash
+from . import langid, mixing, quality, simhash, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1,
     "op5_mixing": mixing.op5,
     "op6_quality": quality.op6,
     "op7_langid": langid.op7,
+    "op8_toxicity": toxicity.op8,
 }
 ORACLES = {
     "op5_mixing": mixing.OP5_SQL,
