@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, pii, quality, simhash, toxicity
+from . import langid, mixing, packing, pii, quality, simhash, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1,
     "op2_pii": pii.op2,
+    "op3_packing": packing.op3,
     "op5_mixing": mixing.op5,
     "op6_quality": quality.op6,
     "op7_langid": langid.op7,
