@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, packing, pii, quality, simhash, toxicity
+from . import ann, langid, mixing, packing, pii, quality, simhash, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_quality": quality.op6,
     "op7_langid": langid.op7,
     "op8_toxicity": toxicity.op8,
+    "op10_ann": ann.op10,
 }
 ORACLES = {
     "op5_mixing": mixing.OP5_SQL,
