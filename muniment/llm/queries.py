@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, langid, mixing, packing, pii, quality, simhash, toxicity
+from . import ann, langid, licenses, mixing, packing, pii, quality, simhash, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1,
     "op2_pii": pii.op2,
     "op3_packing": packing.op3,
+    "op4_licenses": licenses.op4,
     "op5_mixing": mixing.op5,
     "op6_quality": quality.op6,
     "op7_langid": langid.op7,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 ORACLES = {
     "op5_mixing": mixing.OP5_SQL,
+    "op4_licenses": licenses.OP4_SQL,
 }
 
 
