@@ -30,13 +30,17 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(common.WORD)), F.lit(0)).cast("long")
 
 
+def id_hash() -> Column:
+    return F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, h): h is the first 32 bits of md5 of the id's decimal text."""
     return docs.select(
         F.col("doc_id"),
         F.col("source"),
         word_count(F.col("text")).alias("size"),
-        F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long").alias("h"),
+        id_hash().alias("h"),
     )
 
 
@@ -104,15 +108,27 @@ def thresholds(sizes: DataFrame, goals: DataFrame, cap: int) -> DataFrame:
     return state.drop("budget")
 
 
+def _with_times(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """rows (with source, h) and from thresholds(): source_size, target and times, once more below the threshold."""
+    state = common.if_small(state.select(F.col("source").alias("s_"), "source_size", "target", F.col("times").alias("k_"), F.col("threshold").alias("t_")), SOURCES)
+    joined = rows.join(state, F.col("source").eqNullSafe(F.col("s_")))
+    return joined.withColumn("times", F.col("k_") + (F.col("h") < F.col("t_")).cast("long")).drop("s_", "k_", "t_")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
     """(doc_id, source, size, source_size, target, times): how often the mix takes each document."""
     sizes = common.durable(sized(docs))
     state = thresholds(sizes, common.durable(targets(sizes, weights, cap)), cap)
-    state = common.if_small(state.withColumnRenamed("source", "s_"), SOURCES)
-    return sizes.join(state, F.col("source").eqNullSafe(F.col("s_"))).select(
-        "doc_id", "source", "size", "source_size", "target",
-        (F.col("times") + (F.col("h") < F.col("threshold")).cast("long")).alias("times"),
-    )
+    return _with_times(sizes, state).select("doc_id", "source", "size", "source_size", "target", "times")
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
+    """The mix itself: the rows of docs, each as often as it is taken. Texts are not shuffled."""
+    sizes = common.durable(sized(docs))
+    state = thresholds(sizes, common.durable(targets(sizes, weights, cap)), cap)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "source", id_hash().alias("h"))
+    taken = _with_times(rows, state).where("times > 0")
+    return taken.select(F.explode(F.array_repeat("row", F.col("times").cast("int"))).alias("row")).select("row.*")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, langid, licenses, mixing, packing, pii, quality, simhash, toxicity
+from . import ann, langid, licenses, mixing, packing, passages, pii, quality, simhash, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_quality": quality.op6,
     "op7_langid": langid.op7,
     "op8_toxicity": toxicity.op8,
+    "op9_passages": passages.op9,
     "op10_ann": ann.op10,
 }
 ORACLES = {
