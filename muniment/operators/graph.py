@@ -93,7 +93,8 @@ def fields(pages: DataFrame, cell: str = "td") -> DataFrame:
 
 def relations_of(text: Column) -> Column:
     """array<struct<type, name>> that a paragraph states, distinct, in the order of the patterns."""
-    found = [F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda n, k=k: F.struct(F.lit(k).alias("type"), F.trim(n).alias("name"))) for k, p in RELATIONS.items()]
+    tagged = lambda kind: lambda n: F.struct(F.lit(kind).alias("type"), F.trim(n).alias("name"))
+    found = [F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), tagged(k)) for k, p in RELATIONS.items()]
     return F.array_distinct(F.concat(*found))
 
 

@@ -20,9 +20,15 @@ def register(name: str, oracle: str | None = None) -> Callable:
     return put
 
 
+def _load() -> None:
+    from . import decision_queries, graph_queries, text_queries  # noqa: F401
+
+
 def queries() -> dict[str, Callable]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(ORACLES)
