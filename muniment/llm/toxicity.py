@@ -16,6 +16,8 @@ gives no rows. Labels, lang, source and doc_id are never inputs of a score; othe
 from __future__ import annotations
 
 import re
+import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,10 @@ def features(word: str) -> list[str]:
     return [word, *(f"^{word[:k]}" for k in PREFIXES if len(word) > k - 1)]
 
 
+def _slot(feature: str) -> int:
+    return zlib.crc32(feature.encode("utf-8", "surrogatepass")) & ((1 << 22) - 1)
+
+
 class Model(dict):
     """Weights by feature, and the bias of a sentence."""
 
@@ -75,40 +81,45 @@ def fit(texts: list[str], label: np.ndarray, least_docs: int = 8, rounds: int =
     label = np.asarray(label, float)
     if not len(label) or label.min() == label.max():
         return Model({}, 0.0)
-    words: dict[str, int] = {}
-    pairs, owner = [], []  # (sentence, word) without repeats; each sentence's document
+    # In how many documents each feature is, counted by hash: what shares a hash with a frequent one is let
+    # through here, but is a feature of its own below.
+    seen = np.zeros(1 << 22, np.uint32)
+    for text in texts:
+        found = {_slot(f) for w in set(_WORD.findall((text or "").lower())) for f in features(w)}
+        seen[np.fromiter(found, np.int64, len(found))] += 1
+    words: dict[str, int] = {}  # words with a frequent feature, by number; others: -1
+    names: dict[str, int] = {}
+    of, feature, sentence, word, owner = (array("i") for _ in range(5))
     for d, text in enumerate(texts):
         for part in _END.split((text or "").lower()):
-            if now := set(_WORD.findall(part)):
-                pairs += [(len(owner), words.setdefault(x, len(words))) for x in sorted(now)]
-                owner.append(d)
-    if not pairs:
+            now = set(_WORD.findall(part))
+            if not now:
+                continue
+            for w in sorted(now):
+                if (i := words.get(w)) is None:
+                    known = [f for f in features(w) if seen[_slot(f)] >= least_docs]
+                    i = words[w] = len(of) if known else -1
+                    for f in known:
+                        feature.append(names.setdefault(f, len(names)))
+                        of.append(i)
+                if i >= 0:
+                    sentence.append(len(owner))
+                    word.append(i)
+            owner.append(d)
+    del words, seen
+    if not len(word):
         return Model({}, 0.0)
-    owner, (sentence, word) = np.array(owner), np.array(pairs, np.int64).T
-    names: dict[str, int] = {}
-    parts = [(i, names.setdefault(f, len(names))) for w, i in words.items() for f in features(w)]
-    of, feature = np.array(parts, np.int64).T
-    # Only features of enough documents.
-    in_doc = np.unique(owner[sentence] * len(words) + word)
-    d, w = in_doc // len(words), in_doc % len(words)
-    first = np.searchsorted(of, np.arange(len(words) + 1))
-    size = np.diff(first)[w]
-    inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    seen = np.unique(feature[np.repeat(first[w], size) + inner] * len(texts) + np.repeat(d, size))
-    enough = np.bincount(seen // len(texts), minlength=len(names)) >= least_docs
-    of, feature = of[enough[feature]], feature[enough[feature]]
-    kept, feature = np.unique(feature, return_inverse=True)
-    keep = np.isin(word, of)
-    sentence, word = sentence[keep], word[keep]
+    of, feature, sentence, word, owner = (np.frombuffer(q, np.int32) for q in (of, feature, sentence, word, owner))
+    size, kept = len(of), np.arange(len(names))  # a word's number is where its features start
     x, b, n = np.zeros(len(kept)), -6.0, len(label)
     m, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
     for step in range(1, rounds + 1):
-        by_word = np.bincount(of, weights=x[feature], minlength=len(words))
+        by_word = np.bincount(of, weights=x[feature], minlength=size)
         a = b + np.bincount(sentence, weights=by_word[word], minlength=len(owner))
         hazard = np.bincount(owner, weights=np.logaddexp(0, a), minlength=n)
         pull = (1 - label) - label / np.maximum(np.expm1(np.minimum(hazard, 50)), 1e-6)
         da = pull[owner] / (1 + np.exp(-a))
-        dw = np.bincount(word, weights=da[sentence], minlength=len(words))
+        dw = np.bincount(word, weights=da[sentence], minlength=size)
         g = np.append(np.bincount(feature, weights=dw[of], minlength=len(kept)) / n + decay * np.sign(x), da.sum() / n)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -117,7 +128,7 @@ def fit(texts: list[str], label: np.ndarray, least_docs: int = 8, rounds: int =
     return Model({name[k]: float(c) for k, c in zip(kept, x, strict=True) if abs(c) > 0.1}, float(b))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = 5000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = 4000) -> Model:
     """A model from (doc_id, text) and (doc_id, toxic); about max_docs labelled documents are used at most."""
     labels = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = labels.count()
@@ -135,7 +146,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         score = Model(weights, bias).scorer()
-        for batch in batches:
+        for batch in common.slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([score(t)[0] for t in batch.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
@@ -150,7 +161,7 @@ def locate(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
 
     def run(batches):
         score = Model(weights, bias).scorer()
-        for batch in batches:
+        for batch in common.slices(batches):
             out = []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if score(t)[0] < least:
