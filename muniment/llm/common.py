@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,3 +63,18 @@ def fold_of(doc_id: Column | str, folds: int) -> Column:
 def unit_hash(column: str) -> Column:
     """A repeatable number in [0, 1) from a value, for hash-threshold samples."""
     return F.pmod(F.xxhash64(F.lit(7), F.col(column)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches a few rows at a time, so that a task holds few texts as Python objects. At the end the
+    allocators' spare memory goes back to the system: workers outlive their tasks, and the next operator's
+    peak would come on top of what they keep."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    del batches
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
