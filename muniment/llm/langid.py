@@ -181,7 +181,7 @@ def training_windows(docs: DataFrame, label: str, per_label: int, per_doc: int)
     drawn = docs.where(common.unit_hash("doc_id") < F.element_at(share, F.col(label))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("l"), F.col("text").cast("string").alias("t"))
 
     def run(batches):
-        for batch in batches:
+        for batch in common.slices(batches):
             ids, names, out = [], [], []
             for i, l, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 part = windows([(t or "").encode("utf-8", "replace")])[0]
@@ -211,11 +211,9 @@ def identify(docs: DataFrame, net: Network) -> DataFrame:
     """(doc_id, lang_pred, score) of every whole text."""
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                label, score = predict(net, part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(label, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+        for part in common.slices(batches, 2000):
+            label, score = predict(net, part.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(label, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 

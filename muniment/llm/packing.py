@@ -42,18 +42,19 @@ def tokenizer(path: str | None = None, ranks_path: str | None = None, pattern: s
     import tiktoken
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
-    whole.encode_special_tokens = True
-    quick = None
+    whole, quick = [], None
     if path is None or ranks_path:
         with open(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         quick = tiktoken.Encoding("ranks", pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def encode(text: str) -> list[int]:
-        if quick is None or _WIDE.search(text):
-            return whole.encode(text, add_special_tokens=False).ids
-        return quick(text)
+        if quick is not None and not _WIDE.search(text):
+            return quick(text)
+        if not whole:  # loaded when the first text needs it
+            whole.append(Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json")))
+            whole[0].encode_special_tokens = True
+        return whole[0].encode(text, add_special_tokens=False).ids
 
     return encode
 
@@ -65,16 +66,15 @@ def cut(docs: DataFrame, size: int = SIZE, end_id: int = 0, with_ids: bool = Fal
 
     def run(batches):
         encode = tokenizer(**files)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                cols: list[list] = [[] for _ in names]
-                for doc, text in zip(*(batch.column(c).slice(at, 500).to_pylist() for c in (0, 1)), strict=True):
-                    ids = np.append(np.array(encode(text or ""), "<u4"), np.uint32(end_id)).astype("<u4")
-                    for s in range(0, len(ids), size):
-                        raw = ids[s : s + size].tobytes()
-                        for c, x in zip(cols, (doc, s, len(raw) // 4, zlib.crc32(raw), len(ids), raw), strict=False):
-                            c.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "ids" else pa.int64()) for c, n in zip(cols, names, strict=True)], names)
+        for part in common.slices(batches):
+            cols: list[list] = [[] for _ in names]
+            for doc, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                ids = np.append(np.array(encode(text or ""), "<u4"), np.uint32(end_id)).astype("<u4")
+                for s in range(0, len(ids), size):
+                    raw = ids[s : s + size].tobytes()
+                    for c, x in zip(cols, (doc, s, len(raw) // 4, zlib.crc32(raw), len(ids), raw), strict=False):
+                        c.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "ids" else pa.int64()) for c, n in zip(cols, names, strict=True)], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 

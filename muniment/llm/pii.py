@@ -369,17 +369,15 @@ def found(docs: DataFrame, field: Field | None = None) -> DataFrame:
 
     def run(batches):
         finder = Finder(field)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                spans = finder.both(texts)
-                rows = [[{"kind": k, "start": s, "end": e, "value": t[s:e]} for k, s, e in x] for t, (_, x) in zip(texts, spans, strict=True)]
-                counts = [[sum(k == b for k, *_ in base) for b in BASE] for base, _ in spans]
-                sums = [hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in spans]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(rows, kind), pa.array(counts, pa.list_(pa.int64())), pa.array(sums, pa.string())], ["doc_id", "spans", "n_base", "base_sha256"]
-                )
+        for part in common.slices(batches, 1000):
+            texts = [t or "" for t in part.column(1).to_pylist()]
+            spans = finder.both(texts)
+            rows = [[{"kind": k, "start": s, "end": e, "value": t[s:e]} for k, s, e in x] for t, (_, x) in zip(texts, spans, strict=True)]
+            counts = [[sum(k == b for k, *_ in base) for b in BASE] for base, _ in spans]
+            sums = [hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in spans]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(rows, kind), pa.array(counts, pa.list_(pa.int64())), pa.array(sums, pa.string())], ["doc_id", "spans", "n_base", "base_sha256"]
+            )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
@@ -395,7 +393,7 @@ def masked(docs: DataFrame, field: Field | None = None) -> DataFrame:
 
     def run(batches):
         finder = Finder(field)
-        for batch in batches:
+        for batch in common.slices(batches, 1000):
             texts = batch.column(at).to_pylist()
             out = []
             for text, spans in zip(texts, finder.spans([t or "" for t in texts]), strict=True):
