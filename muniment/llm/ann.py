@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import common
 from .quality import chi2_quantile
 
-M, TAU, LEAF, SHARD, BLOCK = 8, 0.98, 32, 8192, 2048
+M, TAU, LEAF, SHARD, BLOCK = 8, 0.98, 32, 8192, 8192
 
 
 def usable(v: Column) -> Column:
