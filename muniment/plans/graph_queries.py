@@ -11,7 +11,7 @@ from ..operators import governance as G
 from ..operators import graph as K
 from ..sources import sinks
 from .registry import register
-from .text_queries import table
+from .text_queries import linked_people, table
 
 _AUTH = "a AS (SELECT 'AUTH:' || p_partkey AS id, p_name || ' ' || (p_partkey % 400) AS label, lower(p_name || ' ' || (p_partkey % 400)) AS norm FROM part), x AS (SELECT 'Q' || p_partkey AS qid, upper(p_name) || '  ' || (p_partkey % 900) AS label, lower(p_name || ' ' || (p_partkey % 900)) AS norm FROM part WHERE p_size > 25), e AS (SELECT p_brand || '!' AS name, lower(replace(p_brand, '#', ' ')) AS norm FROM part UNION ALL SELECT p_name || ' ' || (p_partkey % 400), lower(p_name || ' ' || (p_partkey % 400)) FROM part),\n"
 _MERGE = """s AS (SELECT norm, min(id) AS id FROM a GROUP BY 1 HAVING count(DISTINCT id) = 1), h AS (SELECT x.qid, s.id FROM x JOIN s USING (norm)),
@@ -135,12 +135,16 @@ def turtle_blocks(spark, sf_dir):
     return E.serialised(E.triples(n, F.col("n_name"), [("label", F.lower("n_name"), "literal"), ("inRegion", F.col("r_name"), "iri")]))
 
 
+def link_candidates(spark, sf_dir):
+    """(doc_id, pos, authority_id, score): every candidate of the linked mentions."""
+    return linked_people(spark, sf_dir).select("doc_id", "pos", F.explode("candidates").alias("c")).select("doc_id", "pos", "c.authority_id", "c.score")
+
+
 @register("evidence_objects")
 def evidence_objects(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     people = X.mentions(d)
-    none = people.where("pos < 0").select("doc_id", "pos", F.lit("").alias("authority_id"), F.lit(0.0).alias("score"))
-    objects = E.build(d, people, none)
+    objects = E.build(d, people, link_candidates(spark, sf_dir))
     return objects.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count("ref").alias("with_ref"))
 
 
@@ -149,8 +153,7 @@ def evidence_contract(spark, sf_dir):
     """No row: what is built keeps its own contract."""
     d = table(spark, sf_dir, "documents")
     people = X.mentions(d)
-    none = people.where("pos < 0").select("doc_id", "pos", F.lit("").alias("authority_id"), F.lit(0.0).alias("score"))
-    return E.contract_violations(E.build(d, people, none))
+    return E.contract_violations(E.build(d, people, link_candidates(spark, sf_dir)))
 
 
 @register("publication_round_trip", "SELECT s_suppkey::VARCHAR AS id, 'Work' AS type, s_name AS label FROM supplier")
