@@ -60,9 +60,9 @@ def fold_of(doc_id: Column | str, folds: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % folds
 
 
-def unit_hash(column: str) -> Column:
-    """A repeatable number in [0, 1) from a value, for hash-threshold samples."""
-    return F.pmod(F.xxhash64(F.lit(7), F.col(column)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+def unit_hash(*columns: str) -> Column:
+    """A repeatable number in [0, 1) from values, for hash-threshold samples."""
+    return F.pmod(F.xxhash64(F.lit(7), *columns), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:

@@ -146,6 +146,8 @@ def windows(texts: list[bytes], size: int = WINDOW) -> tuple[np.ndarray, np.ndar
 
 
 def predict(net: Network, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    if not net.labels:
+        return ["und"] * len(texts), [0.0] * len(texts)
     raw = [b"" if t is None or not _LETTER.search(t) else t.encode("utf-8", "replace") for t in texts]
     total = np.zeros((len(texts), len(net.labels) + 1))
     at = 0
@@ -163,7 +165,7 @@ def predict(net: Network, texts: list[str | None]) -> tuple[list[str], list[floa
                 prob *= use[:, None, :]
                 np.add.at(total, at + owner[k : k + LANES], np.concatenate([prob.sum(axis=0), use.sum(axis=0)[None]]).T)
         at = end
-    best = total[:, :-1].argmax(axis=1) if net.labels else np.zeros(len(texts), int)
+    best = total[:, :-1].argmax(axis=1)
     seen = total[:, -1]
     label = [net.labels[b] if s > 0 else "und" for b, s in zip(best, seen, strict=True)]
     score = [min(1.0, float(total[i, b] / s)) if s > 0 else 0.0 for i, (b, s) in enumerate(zip(best, seen, strict=True))]
@@ -171,14 +173,14 @@ def predict(net: Network, texts: list[str | None]) -> tuple[list[str], list[floa
 
 
 def training_windows(docs: DataFrame, label: str, per_label: int, per_doc: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Labels in order, and the windows and label numbers of about per_label documents of each label,
-    drawn by a hash of the id; per_doc windows from each, spread over the whole text."""
+    """Labels in order, and the windows and label numbers of about per_label documents of each label, drawn
+    by a hash of id and text, repeated rows once; per_doc windows from each, spread over the whole text."""
     counts = {r["l"]: r["n"] for r in docs.groupBy(F.col(label).alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()}
     labels = sorted(counts)
     if not labels:
         return [], np.zeros((0, WINDOW), np.uint8), np.zeros(0, int)
     share = F.create_map(*[F.lit(x) for k in labels for x in (k, min(1.0, per_label / counts[k]))])
-    drawn = docs.where(common.unit_hash("doc_id") < F.element_at(share, F.col(label))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("l"), F.col("text").cast("string").alias("t"))
+    drawn = docs.where(common.unit_hash("doc_id", "text") < F.element_at(share, F.col(label))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("l"), F.col("text").cast("string").alias("t"))
 
     def run(batches):
         for batch in common.slices(batches):
@@ -191,7 +193,7 @@ def training_windows(docs: DataFrame, label: str, per_label: int, per_doc: int)
                     out.append(part[k].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array(out, pa.binary())], ["doc_id", "l", "w"])
 
-    rows = sorted((r["doc_id"], bytes(r["w"]), r["l"]) for r in drawn.mapInArrow(run, "doc_id long, l string, w binary").collect())
+    rows = sorted((r["doc_id"], bytes(r["w"]), r["l"]) for r in drawn.mapInArrow(run, "doc_id long, l string, w binary").distinct().collect())
     codes = np.frombuffer(b"".join(w for _, w, _ in rows), np.uint8).reshape(-1, WINDOW)
     number = {k: i for i, k in enumerate(labels)}
     return labels, codes, np.array([number[l] for *_, l in rows], int)
