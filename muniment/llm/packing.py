@@ -29,31 +29,36 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SIZE = 1024
+SIZE, GAP, ROUNDS = 1024, 1e-3, 600
 _WIDE = re.compile(r"[^\x00-ɏ‐-›]")
 
 
 # -- tokens -------------------------------------------------------------------------------------------
 
 def tokenizer(path: str | None = None, ranks_path: str | None = None, pattern: str | None = None):
-    """texts -> lists of ids as by the tokenizer file. Where the same vocabulary lies beside it as ranks,
-    texts of Latin letters go through those, which gives the same ids several times as fast."""
+    """texts -> lists of ids as by the tokenizer file's plain call, its added tokens included. Where the same
+    vocabulary lies beside it as ranks, texts of Latin letters without an added token go through those,
+    which gives the same ids several times as fast."""
+    import json
+
     import public_tokenizers
     import tiktoken
     from tokenizers import Tokenizer
 
-    whole, quick = [], None
+    whole, quick, added = [], None, None
     if path is None or ranks_path:
+        with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+            names = [t["content"] for t in json.load(f)["added_tokens"]]
+        added = re.compile("|".join([_WIDE.pattern, *map(re.escape, names)]))
         with open(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         quick = tiktoken.Encoding("ranks", pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def encode(text: str) -> list[int]:
-        if quick is not None and not _WIDE.search(text):
+        if quick is not None and not added.search(text):
             return quick(text)
         if not whole:  # loaded when the first text needs it
             whole.append(Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json")))
-            whole[0].encode_special_tokens = True
         return whole[0].encode(text, add_special_tokens=False).ids
 
     return encode
@@ -135,29 +140,33 @@ def first_basis(lengths: np.ndarray, demand: np.ndarray, size: int = SIZE) -> tu
     return basis, use
 
 
-def solve(lengths: np.ndarray, demand: np.ndarray, size: int = SIZE, rounds: int = 150, gap: float = 2e-4) -> list[tuple[float, np.ndarray]]:
+def solve(lengths: np.ndarray, demand: np.ndarray, size: int = SIZE, gap: float = GAP, rounds: int = ROUNDS) -> list[tuple[float, np.ndarray]]:
     """(use, pattern) of a basic solution of: least total cost, each length's demand met exactly.
 
-    Columns come from price(), several a round, each entered while it still improves. Rounds end at
-    optimality, or when the cost is within `gap` of the demand's tokens or of Farley's bound.
+    Columns come from price(), several a round, each entered while it still improves. Demands are spread by under
+    a hundredth of a piece, so that few pivots are degenerate; the basis meets the true demands in the end. Rounds
+    end when no column prices out, when the cost is within `gap` of the demand's tokens or of the best of Farley's
+    bounds, or after `rounds` of them: the plan is whole then too, with somewhat more padding (README's figures).
     """
-    basis, use = first_basis(lengths, demand, size)
+    demand = demand.astype(float)
+    spread = demand + np.random.default_rng(1).uniform(0.002, 0.01, len(demand))
+    basis, use = first_basis(lengths, spread, size)
     costs = sequence_cost((lengths @ basis).astype(np.int64), size).astype(float)
-    tokens, inverse = float(lengths @ demand), None
-    for turn in range(rounds):
+    tokens = float(lengths @ spread)
+    bound = tokens
+    inverse = np.linalg.inv(basis)  # triangular up to order, so it has one
+    for turn in range(1, rounds + 1):
         total = float(costs @ use)
-        if total - tokens <= gap * total:
+        if total - bound <= gap * total:
             break
-        if turn % 40 == 0:  # and again for numerical hygiene
-            try:
-                inverse = np.linalg.inv(basis)
-            except np.linalg.LinAlgError:  # degenerate pivots: what use says so far still stands
-                break
-            use = np.maximum(inverse @ demand, 0)
+        if turn % 40 == 0:  # again from the basis, for numerical hygiene
+            inverse = np.linalg.inv(basis)
+            use = np.maximum(inverse @ spread, 0)
         dual = costs @ inverse
         found = price(lengths, dual, size)
-        if not found or total - float(dual @ demand) / (1 + found[0][0] / size) <= gap * total:
+        if not found:
             break
+        bound = max(bound, float(dual @ spread) / (1 + found[0][0] / size))
         for _, column in found:
             cost = float(sequence_cost(int(column @ lengths), size))
             if (costs @ inverse) @ column - cost <= 1e-7 * size:
@@ -175,6 +184,7 @@ def solve(lengths: np.ndarray, demand: np.ndarray, size: int = SIZE, rounds: int
             row = inverse[r] / step[r]
             inverse -= np.outer(step, row)
             inverse[r] = row
+    use = np.maximum(np.linalg.solve(basis, demand), 0)
     return [(float(u), basis[:, j]) for j, u in enumerate(use) if u > 1e-9]
 
 
