@@ -2,8 +2,8 @@
 
 Fingerprints: one 64-bit majority vote per whole text over the XXH64 of its word shingles.
 
-Search: two fingerprints that differ in at most r = 3 of 64 bits agree exactly on at least two of five
-blocks of 13 bits, so all pairs within reach meet in one of ten bucket families of 25 or 26 fixed bits.
+Search: two fingerprints that differ in at most r of 64 bits agree exactly on at least two of r + 2 blocks,
+so all pairs within reach meet in a bucket family of two fixed blocks: for r = 3 one of ten of 25 or 26 bits.
 Only distinct fingerprints go in (copies meet in one by a map-side combined aggregate). In a bucket the
 fingerprints stand as 64 bit planes, 64 fingerprints to a machine word: one fingerprint against a block
 is an XOR of a plane with 0 or ~0, carry-save adders count the differing planes of all 64 at once in
@@ -14,11 +14,14 @@ of its links, never its pairs: fewer rows than it has members.
 Large buckets: one with more than TILE members is cut into chunks by hash, and each pair of chunks is a
 task of its own, so no task holds more than two chunks whatever the bucket holds.
 
-Components: large-star and small-star steps as joins and aggregates, each written to the shared folder;
-documents then take their fingerprint's component. Nothing about documents reaches the driver but counts.
+Components: of fingerprints, by large-star and small-star steps as joins and aggregates, each written to the
+shared folder; documents then take the smallest id of their fingerprint's component. Nothing about documents
+reaches the driver but counts.
 
 Defined results: null, empty or wordless text has fingerprint 0 and is linked like any other; a repeated
-row gives a repeated row; ties can't arise (a bit needs more than half); an empty table gives no rows.
+row gives a repeated row; an id with several texts has a row for each; rows without an id link others but
+name no component (null where no row of it has an id); ties can't arise (a bit needs more than half); an
+empty table gives no rows.
 Only doc_id and text are read, whatever other columns are called.
 """
 
@@ -35,9 +38,16 @@ from pyspark.sql import functions as F
 
 from . import common
 
-RADIUS, BLOCKS, TILE = 3, 5, 4096
-_EDGES = [round(i * 64 / BLOCKS) for i in range(BLOCKS + 1)]
-_MASKS = [((1 << (_EDGES[a + 1] - _EDGES[a])) - 1) << _EDGES[a] | ((1 << (_EDGES[b + 1] - _EDGES[b])) - 1) << _EDGES[b] for a, b in combinations(range(BLOCKS), 2)]
+RADIUS, TILE = 3, 4096
+
+
+def bucket_masks(radius: int) -> list[int]:
+    """The bits that each bucket family fixes: two of radius + 2 blocks."""
+    if not 0 <= radius <= 6:
+        raise ValueError(f"radius {radius}: bucket families hold for 0 to 6 bits")
+    edges = [round(i * 64 / (radius + 2)) for i in range(radius + 3)]
+    block = [((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in range(radius + 2)]
+    return [a | b for a, b in combinations(block, 2)]
 
 
 # -- fingerprints -------------------------------------------------------------------------------------
@@ -104,12 +114,24 @@ def planes_of(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
 def compare(values: np.ndarray, planes: np.ndarray, query: np.ndarray, word: np.ndarray, order: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Each query's value against the 64 lanes of its word. Returns the numbers of the (query, word)
     pairs with a lane within the radius, and for each a machine word with those lanes set."""
-    alive = np.arange(len(query))
-    ones = twos = fours = over = np.zeros(len(query), np.uint64)
-    for n in range(0, len(order), 4):
-        d = [planes[p][word] ^ (np.uint64(0) - (values[query] >> np.uint64(p) & np.uint64(1))) for p in order[n : n + 4]]
-        d += [np.zeros_like(ones)] * (4 - len(d))
-        # Two carry-save adders take the four planes into the counters; past seven they stay marked as over.
+
+    def differ(p: int, alive: np.ndarray) -> np.ndarray:
+        return planes[p][word[alive]] ^ (np.uint64(0) - (values[query[alive]] >> np.uint64(p) & np.uint64(1)))
+
+    return count_planes(differ, len(query), order, radius)
+
+
+def count_planes(differ, n: int, order: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """differ(plane, alive) gives machine words whose lanes say where a plane differs. Counts the planes of all
+    lanes at once and abandons words in which every lane is past the radius. Returns the numbers of the words
+    with a lane within the radius, and for each a machine word with those lanes set."""
+    alive, zero = np.arange(n), np.zeros(n, np.uint64)
+    counter, over = [zero] * max(3, radius.bit_length()), zero
+    for at in range(0, len(order), 4):
+        d = [differ(p, alive) for p in order[at : at + 4]]
+        d += [np.zeros_like(over)] * (4 - len(d))
+        # Two carry-save adders take the four planes into the counters; past the last they stay marked as over.
+        ones, twos, *rest = counter
         a = ones ^ d[0]
         c1 = (ones & d[0]) | (a & d[1])
         ones = a ^ d[1]
@@ -117,27 +139,41 @@ def compare(values: np.ndarray, planes: np.ndarray, query: np.ndarray, word: np.
         c2 = (ones & d[2]) | (a & d[3])
         ones = a ^ d[3]
         a = twos ^ c1
-        e = (twos & c1) | (a & c2)
+        carry = (twos & c1) | (a & c2)
         twos = a ^ c2
-        over = over | (fours & e)
-        fours = fours ^ e
-        keep = over | _above(ones, twos, fours, radius)
-        keep = np.flatnonzero(keep != FULL)
-        if len(keep) < len(alive):  # blocks in which every lane is past the radius are abandoned
-            alive, query, word, ones, twos, fours, over = (x[keep] for x in (alive, query, word, ones, twos, fours, over))
+        for k, bit in enumerate(rest):
+            rest[k], carry = bit ^ carry, bit & carry
+        over = over | carry
+        counter = [ones, twos, *rest]
+        keep = np.flatnonzero(over | _above(counter, radius) != FULL)
+        if len(keep) < len(alive):  # words in which every lane is past the radius are abandoned
+            alive, over, counter = alive[keep], over[keep], [x[keep] for x in counter]
             if not len(alive):
                 break
-    return alive, ~(over | _above(ones, twos, fours, radius))
+    return alive, ~(over | _above(counter, radius))
+
+
+def _above(counter: list[np.ndarray], radius: int) -> np.ndarray:
+    """Lanes whose counter, lowest bit first, exceeds the radius: decided at the highest bit that differs."""
+    more, same = np.zeros_like(counter[0]), np.full_like(counter[0], FULL)
+    for k in range(len(counter) - 1, -1, -1):
+        if radius >> k & 1:
+            same &= counter[k]
+        else:
+            more |= same & counter[k]
+            same &= ~counter[k]
+    return more
 
 
-def _above(ones: np.ndarray, twos: np.ndarray, fours: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes whose three-bit counter exceeds the radius (0 to 6)."""
-    if radius == 3:
-        return fours
-    out = np.zeros_like(ones)
-    for value in range(radius + 1, 8):
-        out |= (fours if value & 4 else ~fours) & (twos if value & 2 else ~twos) & (ones if value & 1 else ~ones)
-    return out
+def close_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Which a[i], b[i] differ in at most `radius` bits: 64 pairs to a machine word, planes of both stood vertically."""
+    if not len(a):
+        return np.zeros(0, bool)
+    (pa, _, lanes), (pb, *_) = (planes_of(x, np.array([0]), np.array([len(x)])) for x in (a, b))
+    word, mask = count_planes(lambda p, alive: pa[p][alive] ^ pb[p][alive], len(lanes), np.arange(64), radius)
+    out = np.zeros((len(lanes), 64), bool)
+    out[word] = _lanes(mask)
+    return out.ravel()[: len(a)]
 
 
 def merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -184,7 +220,8 @@ def block_links(values: np.ndarray, q_from, q_to, b_from, b_to, order: np.ndarra
 
 def links(fps: DataFrame, tile: int = TILE, radius: int = RADIUS) -> DataFrame:
     """(a, b) of a table of distinct fp: enough links of at most `radius` bits to give its components."""
-    masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in _MASKS])
+    fixed = bucket_masks(radius)
+    masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in fixed])
     keyed = fps.select("fp", F.posexplode(masks).alias("family", "mask")).select("fp", "family", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
     sizes = keyed.groupBy("family", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sizes = common.durable(sizes)
@@ -222,7 +259,7 @@ def links(fps: DataFrame, tile: int = TILE, radius: int = RADIUS) -> DataFrame:
         for f in np.unique(family[start[use]]):
             k = use & (family[start] == f)
             s, e, t, m = start[k], end[k], two[k], left[k]
-            order = np.array([p for p in range(64) if not _MASKS[f] >> p & 1])  # the other planes agree in a bucket
+            order = np.array([p for p in range(64) if not fixed[f] >> p & 1])  # the other planes agree in a bucket
             i, r = block_links(fp, s, np.where(t, s + m, e), np.where(t, s + m, s), e, order, radius)
             if len(i):
                 yield pd.DataFrame({"a": fp[i].view(np.int64), "b": fp[r].view(np.int64)})
@@ -262,11 +299,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS, tile:
     """(doc_id, fp, component_id): component_id is the smallest doc_id that links reach."""
     found = common.durable(fingerprints(docs, width))
     first = common.durable(found.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    name_a, name_b = first.select(F.col("fp").alias("a"), F.col("first").alias("ia")), first.select(F.col("fp").alias("b"), F.col("first").alias("ib"))
-    edges = links(first.select("fp"), tile, radius).join(name_a, "a").join(name_b, "b").select(F.col("ia").alias("a"), F.col("ib").alias("b"))
-    parts = components(edges)
-    named = first.join(parts.withColumnRenamed("node", "first"), "first", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
-    return found.join(named, "fp").select("doc_id", "fp", "component_id")
+    parts = components(links(first.select("fp"), tile, radius)).withColumnRenamed("node", "fp")
+    named = common.durable(first.join(parts, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "first"))
+    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    return found.join(named.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_of(fp: str) -> Column:

@@ -54,6 +54,37 @@ def test_other_radii():
     assert not len(member)
 
 
+def test_close_pairs():
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 2**63, 1000, dtype=np.uint64)
+    flips = np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 40), replace=False)) for _ in a], np.uint64)
+    for radius in (0, 3, 7, 12, 20, 33):
+        assert (S.close_pairs(a, a ^ flips, radius) == (np.bitwise_count(flips) <= radius)).all()
+    assert not len(S.close_pairs(a[:0], a[:0], 3))
+
+
+def test_ids_with_several_texts(spark):
+    """Links run between fingerprints: a text without an id bridges, and an id's two texts stay apart."""
+    base = 0x0123456789ABCDEF
+    fps = [(5, base), (None, base ^ 0b111), (3, base ^ 0b111111), (7, ~base & (1 << 62) - 1), (7, base)]
+    df = spark.createDataFrame([(i, v) for i, v in fps], "doc_id long, fp long")
+    parts = S.components(S.links(df.select("fp").distinct())).collect()
+    assert {r["node"] for r in parts} | {r["component"] for r in parts} == {base, base ^ 0b111, base ^ 0b111111}
+    text = " ".join(f"w{i}" for i in range(300))
+    docs = spark.createDataFrame([(4, text), (9, "other words stand here"), (9, text), (2, text), (None, "alone and unnamed text")], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["component_id"]) for r in S.near_duplicates(docs).collect())
+    assert got == [(0, None), (2, 2), (4, 2), (9, 2), (9, 9)]
+
+
+def test_radius_six(spark):
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, 2**62, 200)
+    b = [int(x) ^ sum(1 << int(k) for k in rng.choice(62, 6, replace=False)) for x in a]
+    df = spark.createDataFrame([(int(x),) for x in [*a, *b]], "fp long")
+    parts = {r["node"]: r["component"] for r in S.components(S.links(df, radius=6)).collect()}
+    assert all(parts.get(int(x), int(x)) == parts.get(y, y) for x, y in zip(a, b))
+
+
 def test_against_brute_force(spark):
     rng = random.Random(1)
     words = [f"w{i}" for i in range(400)]
