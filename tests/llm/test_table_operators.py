@@ -150,14 +150,15 @@ def brute(rows, k=10):
     return out
 
 
-def test_neighbours(spark):
+def test_neighbours(spark, monkeypatch):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in np.float32(rng.normal(size=16) + (i % 7))]) for i in range(1500)]
     rows += [(2000 + i, rows[0][1]) for i in range(30)] + [(3000, None), (3100, [0.0] * 16), (3200, [None] * 16), (3300, [float("nan")] * 16), (3400, [1.0, 2.0]), (rows[5])]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, rank string")
-    for shard in (8192, 200):
+    for shard, block in ((8192, 7), (200, 1 << 17), (200, 2)):
         got = {}
-        for r in ann.nearest(df, F.col("vec_id") % 100 == 0, shard=shard, block=7).collect():
+        monkeypatch.setattr(ann, "BLOCK", block)
+        for r in ann.nearest(df, F.col("vec_id") % 100 == 0, shard=shard).collect():
             got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
         want = brute({i: v for i, v in rows}.items())
         hit = sum(len({i for _, i, _ in got.get(q, [])} & {i for _, i in w}) for q, w in want.items())
@@ -168,6 +169,30 @@ def test_neighbours(spark):
     assert ann.nearest(df.where("vec_id < 3"), F.col("vec_id") % 100 == 0).count() == 2
 
 
+def test_cells_and_pruning():
+    """Clustered rows: a query verifies little, and every row has a cell."""
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(40, 64)) * 10, 100, axis=0) + rng.normal(size=(4000, 64))
+    p = x @ ann.directions(64)
+    cells = ann.Cells(p[::4], 16).of(p)
+    assert 8 <= len(np.unique(cells)) <= 16 and np.bincount(cells).max() < 1500
+    one = ann.Shard(np.arange(4000), x, 10)
+    hit = sum(len({i for _, i in one.search(q, x[q])} & set(np.argsort(((x - x[q]) ** 2).sum(1))[1:11].tolist())) for q in range(0, 4000, 100))
+    assert hit >= 360 and one.verified < 0.2 * 40 * 4000
+    assert (ann.Cells(np.zeros((10, ann.M)), 4).of(np.zeros((5, ann.M))) == 0).all()
+
+
+def test_neighbours_odd(spark):
+    """Nulls in every column, ties, repeated rows, a hot vector, clashing names."""
+    rows = [(i, [1.0, 2.0], 0, "b") for i in range(0, 600, 5)] + [(None, [1.0, 2.0], 1, "x"), (100, [1.0, 2.0], 0, "b"), (700, [5.0, None], None, None), (701, [3.0, 4.0], 1, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, cell int, query_id string")
+    got = {}
+    for r in sorted(ann.nearest(df, F.col("vec_id") % 100 == 0, shard=50).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert set(got) == {0, 100, 200, 300, 400, 500}
+    assert got[0] == [5, 10, 15, 20, 25, 30, 35, 40, 45, 50] and got[100] == [0, 5, 10, 15, 20, 25, 30, 35, 40, 45]
+
+
 def test_pipeline(spark, odd, none, tmp_path):
     import corpus_pipeline as P
 
