@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import common
 from .quality import chi2_quantile
 
-M, TAU, LEAF, SHARD, BLOCK, CELLS, SAMPLE = 24, 0.95, 64, 8192, 1 << 17, 4096, 1 << 16
+M, TAU, LEAF, SHARD, BLOCK, CELLS, SAMPLE = 24, 0.92, 64, 8192, 1 << 17, 4096, 1 << 16
 LIMIT = chi2_quantile(TAU, M)
 
 
