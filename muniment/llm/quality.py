@@ -2,19 +2,21 @@
 
 A document's statistics (below) are transformed so that well-formed text is roughly normal, and judged by
 their Mahalanobis distance from a minimum-covariance-determinant (MCD) estimate of its group, a language
-and source. The estimate starts from medians and quartile ranges and takes concentration steps: distances
-of all the group's rows under the present estimate, the half with the smallest distances, its mean and
-covariance. A last step reweights all rows within the 97.5 % radius.
+and source. Each group has several deterministic starts: medians and quartile ranges, the plain moments, and
+SUBSETS of about SUBSET rows drawn by hash. A start takes concentration steps: distances of all the group's
+rows under the present estimate, the half with the smallest distances, its mean and covariance. After STEPS of
+them the start of the least determinant goes on, until that falls no more (MORE steps at most, README has how
+far they get). A last step reweights all rows within the 97.5 % radius.
 
 At scale a group may hold a third of the corpus, so no group is gathered. A step aggregates moments
-(count, sums, products) by group and distance bin with map-side combination: at most BINS rows a group
-leave the aggregate, and the per-group arithmetic runs on those. The half is cut at a bin's edge.
-Groups under `least` rows are judged with the rest of their language, and if that is still under it,
-with the rest of all.
+(count, sums, products) by group, start and distance bin with map-side combination: at most BINS rows of a
+start leave the aggregate, and the per-group arithmetic runs on those. The half is cut at a bin's edge.
+Quartiles come from counts by group and bin of width GRID. Groups under `least` rows are judged with the rest
+of their language, and if that is still under it, with the rest of all.
 
 Defined results: null, empty or wordless text has no words and fails the base rules; null lang or source
 is a value of its own; repeated rows are judged alike; an empty table gives no rows; a group too small to
-estimate (under LEAST_ANY rows in the last pool) is kept by the method. Ties in distance fall into one bin
+estimate (under LEAST_ANY rows in the last pool) is kept by the method; texts under judge_words words aren't judged by it. Ties in distance fall into one bin
 and so are taken or left together. Only doc_id, text, lang and source are read.
 """
 
@@ -35,9 +37,12 @@ SYMBOLS = "#*$%&|<>"
 #: Transformed statistics: log words, log mean word length, roots of the shares of symbols, repeated
 #: lines, repeated windows, capitals and ASCII punctuation.
 STATS = ("x_words", "x_length", "x_symbols", "x_lines", "x_repeat", "x_upper", "x_punct")
-#: Smallest standard deviation of each that counts: below it, differences don't make a text bad.
-FLOOR = (0.6, 0.08, 0.06, 0.18, 0.16, 0.08, 0.05)
-P, STEPS, BINS, GROUPS, LEAST_ANY = len(STATS), 4, 160, 200_000, 30
+#: Smallest standard deviation of each that counts: below it, differences don't make a text bad. Each statistic can
+#: reject by itself: half of the lines repeated, or 29 % of the words in repeated windows, lie beyond the limit.
+FLOOR = (0.6, 0.08, 0.06, 0.115, 0.09, 0.08, 0.05)
+TAIL = 1e-5  # share of a normal group that the limit would reject
+P, STEPS, MORE, BINS, GROUPS, LEAST_ANY = len(STATS), 2, 8, 160, 200_000, 30
+SUBSETS, SUBSET, GRID = 4, 12, 0.02
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _PUNCT = np.zeros(256, bool)
@@ -71,17 +76,29 @@ def repeated_words(words: list[bytes], width: int = 8) -> int:
     n = len(words)
     if n <= width:
         return 0
-    word = np.fromiter(map(hash, words), np.int64, n).view(np.uint64)
-    word ^= word >> np.uint64(31)
+    seen: dict[bytes, int] = {}
+    word = np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.uint64, n)
+    mixed = (word + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    mixed ^= mixed >> np.uint64(32)
     window = np.zeros(n - width + 1, np.uint64)
     for k in range(width):  # a polynomial in an odd 64-bit base; equal windows have equal values
         window *= np.uint64(0x9E3779B97F4A7C15)
-        window += word[k : n - width + 1 + k]
-    ranked = np.sort(window)
-    twice = ranked[1:][ranked[1:] == ranked[:-1]]
-    if not len(twice):
+        window += mixed[k : n - width + 1 + k]
+    order = np.argsort(window, kind="stable")
+    i, j = order[:-1], order[1:]
+    same = window[i] == window[j]
+    if not same.any():
         return 0
-    at = np.flatnonzero(np.isin(window, twice))
+    i, j = i[same], j[same]
+    at = np.union1d(i, j)
+    for k in range(width):
+        if (word[i + k] != word[j + k]).any():  # two windows share a value: the words themselves decide
+            times: dict[tuple, int] = {}
+            rows = [tuple(word[a : a + width].tolist()) for a in at.tolist()]
+            for r in rows:
+                times[r] = times.get(r, 0) + 1
+            at = at[[times[r] > 1 for r in rows]]
+            break
     cover = np.zeros(n + 1, np.int64)
     np.add.at(cover, at, 1)
     np.add.at(cover, at + width, -1)
@@ -91,21 +108,21 @@ def repeated_words(words: list[bytes], width: int = 8) -> int:
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, source, the five base counts, the STATS) of every whole text."""
-    schema = "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in _COUNTS) + ", " + ", ".join(f"{c} double" for c in STATS)
-    names = ["doc_id", "lang", "source", *_COUNTS, *STATS]
+def statistics(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, lang, source, the five base counts, the STATS, also) of every whole text; also: long columns of docs."""
+    names = ["doc_id", "lang", "source", *_COUNTS, *STATS, *also]
+    schema = "doc_id long, lang string, source string, " + ", ".join([*(f"{c} long" for c in _COUNTS), *(f"{c} double" for c in STATS), *(f"{c} long" for c in also)])
 
     def run(batches):
         for batch in common.slices(batches):
             found = [text_statistics(t) for t in batch.column(3).to_pylist()]
             columns = list(zip(*found, strict=True)) or [[]] * (5 + P)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(3)), *(pa.array(c, pa.int64()) for c in columns[:5]), *(pa.array(c, pa.float64()) for c in columns[5:])], names
+                [*(batch.column(i) for i in range(3)), *(pa.array(c, pa.int64()) for c in columns[:5]), *(pa.array(c, pa.float64()) for c in columns[5:]), *batch.columns[4:]], names
             )
 
     cols = [F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("text").cast("string")]
-    return docs.select(*(c.alias(n) for c, n in zip(cols, ("doc_id", "lang", "source", "text"), strict=True))).mapInArrow(run, schema)
+    return docs.select(*(c.alias(n) for c, n in zip(cols, ("doc_id", "lang", "source", "text"), strict=True)), *also).mapInArrow(run, schema)
 
 
 # -- chi-square ---------------------------------------------------------------------------------------
@@ -148,7 +165,7 @@ def chi2_quantile(p: float, k: float) -> float:
 # -- minimum covariance determinant -------------------------------------------------------------------
 
 _PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
-_STATE = "grp string, mu array<double>, w array<double>, log_det double, n_used long"
+_STATE = "grp string, start int, mu array<double>, w array<double>, log_det double, n_used long"
 
 
 def estimate(count: float, sums: np.ndarray, products: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, float]:
@@ -196,7 +213,7 @@ def grouped(stats: DataFrame, least: int) -> DataFrame:
 
 
 def _concentrate(last: bool):
-    """The step from a group's moments by bin to its next estimate."""
+    """The step from the moments of a group's start by bin to its next estimate."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("bin")
@@ -205,44 +222,98 @@ def _concentrate(last: bool):
         part = frame.iloc[: max(1, take)]
         count = part["n"].sum()
         share = 0.975 if last else min(1.0, count / n.sum())
-        sums, products = (part[[f"{k}{i}" for i in range(m)]].sum().to_numpy() for k, m in (("s", P), ("p", len(_PAIRS))))
-        mu, white, log_det = estimate(count, sums, products, share)
-        return pd.DataFrame({"grp": [frame["grp"].iloc[0]], "mu": [mu], "w": [white], "log_det": [log_det], "n_used": [int(count)]})
+        return _state_row(frame, part, count, share)
 
     return run
 
 
-def robust_state(stats: DataFrame, steps: int = STEPS) -> DataFrame:
-    """(grp, mu, w, log_det, n_used): the reweighted MCD estimate of each grp of a grouped() table."""
-    third = [F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(2000)).alias(c) for c in STATS]
-    quart = stats.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *third)
-    sd = [F.greatest((F.col(c)[2] - F.col(c)[0]) / 1.349, F.lit(f)) for c, f in zip(STATS, FLOOR, strict=True)]
-    start = [F.lit(1.0) / sd[i] if i == j else F.lit(0.0) for i, j in _PAIRS]
-    state = common.durable(quart.select("grp", F.array(*[F.col(c)[1] for c in STATS]).alias("mu"), F.array(*start).alias("w"), F.lit(0.0).alias("log_det"), F.col("n").alias("n_used")))
+def _state_row(frame: pd.DataFrame, part: pd.DataFrame, count: float, share: float) -> pd.DataFrame:
+    sums, products = (part[[f"{k}{i}" for i in range(m)]].sum().to_numpy() for k, m in (("s", P), ("p", len(_PAIRS))))
+    mu, white, log_det = estimate(count, sums, products, share)
+    return pd.DataFrame({"grp": [frame["grp"].iloc[0]], "start": [int(frame["start"].iloc[0])], "mu": [mu], "w": [white], "log_det": [log_det], "n_used": [int(count)]})
+
+
+def _moments(rows: DataFrame, *keys: str) -> DataFrame:
+    """Count, sums and products of the STATS by keys, combined before they are shuffled."""
+    sums = [F.sum(c).alias(f"s{i}") for i, c in enumerate(STATS)] + [F.sum(F.col(STATS[i]) * F.col(STATS[j])).alias(f"p{n}") for n, (i, j) in enumerate(_PAIRS)]
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("n"), *sums)
+
+
+def quartiles(stats: DataFrame) -> DataFrame:
+    """(grp, stat, n, q1, q2, q3) from counts by bin, interpolated within the bin that holds a quartile."""
+    listed = F.explode(F.array(*[F.struct(F.lit(i).alias("stat"), F.floor(F.col(c) / GRID).cast("long").alias("bin")) for i, c in enumerate(STATS)]))
+    bins = stats.select("grp", listed.alias("x")).groupBy("grp", "x.stat", "x.bin").agg(F.count(F.lit(1)).alias("n"))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("bin")
+        n, at = frame["n"].to_numpy(float), frame["bin"].to_numpy(float) * GRID
+        upto = np.cumsum(n)
+        out = {"grp": [frame["grp"].iloc[0]], "stat": [int(frame["stat"].iloc[0])], "n": [int(upto[-1])]}
+        for q in (1, 2, 3):
+            k = int(np.searchsorted(upto, upto[-1] * q / 4))
+            out[f"q{q}"] = [at[k] + GRID * (upto[-1] * q / 4 - (upto[k] - n[k])) / n[k]]
+        return pd.DataFrame(out)
+
+    return bins.groupBy("grp", "stat").applyInPandas(run, "grp string, stat int, n long, q1 double, q2 double, q3 double")
+
+
+def starts(stats: DataFrame) -> DataFrame:
+    """(grp, start, mu, w, log_det, n_used): 0 medians and quartile ranges, 1 plain moments, from 2 on subsets."""
+
+    def middle(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("stat")
+        sd = np.maximum((frame["q3"] - frame["q1"]).to_numpy() / 1.349, FLOOR)
+        w = np.array([1 / sd[i] if i == j else 0.0 for i, j in _PAIRS])
+        return pd.DataFrame({"grp": [frame["grp"].iloc[0]], "start": [0], "mu": [frame["q2"].to_numpy()], "w": [w], "log_det": [float(2 * np.log(sd).sum())], "n_used": [int(frame["n"].iloc[0])]})
+
+    plain = lambda frame: _state_row(frame, frame, frame["n"].sum(), 1.0)
+    first = quartiles(stats).groupBy("grp").applyInPandas(middle, _STATE)
+    sizes = common.if_small(common.durable(stats.groupBy("grp").agg(F.greatest(F.lit(SUBSETS), F.ceil(F.count(F.lit(1)) / SUBSET)).alias("parts"))), GROUPS)
+    drawn = stats.join(sizes, "grp").withColumn("start", (F.pmod(F.xxhash64(F.lit(9), "doc_id", *STATS), F.col("parts")) + 2).cast("int")).where(F.col("start") < 2 + SUBSETS)
+    every = _moments(stats.withColumn("start", F.lit(1)), "grp", "start").unionAll(_moments(drawn, "grp", "start"))
+    return first.unionAll(every.groupBy("grp", "start").applyInPandas(plain, _STATE))
+
+
+def robust_state(stats: DataFrame, steps: int = STEPS, more: int = MORE) -> DataFrame:
+    """(grp, start, mu, w, log_det, n_used): the reweighted MCD estimate of each grp of a grouped() table."""
+    state = common.durable(starts(stats))
     radius = chi2_quantile(0.975, P)
-    for step in range(steps + 1):
-        last = step == steps
-        far = stats.join(common.if_small(state.select("grp", "mu", "w"), GROUPS), "grp").withColumn("d2", distance2())
-        edge = F.when(F.col("d2") <= radius, 0).otherwise(1) if last else F.least(F.greatest(F.floor(F.log2(F.col("d2") + 1e-9) * 6) + 60, F.lit(0)), F.lit(BINS))
-        sums = [F.sum(c).alias(f"s{i}") for i, c in enumerate(STATS)] + [F.sum(F.col(STATS[i]) * F.col(STATS[j])).alias(f"p{n}") for n, (i, j) in enumerate(_PAIRS)]
-        moments = far.withColumn("bin", edge.cast("int")).groupBy("grp", "bin").agg(F.count(F.lit(1)).cast("double").alias("n"), *sums)
-
-        new = common.durable(moments.groupBy("grp").applyInPandas(_concentrate(last), _STATE))
+    near = F.least(F.greatest(F.floor(F.log2(F.col("d2") + 1e-9) * 6) + 60, F.lit(0)), F.lit(BINS)).cast("int")
+
+    def step(state: DataFrame, edge: Column, last: bool = False) -> DataFrame:
+        far = stats.join(common.if_small(state.select("grp", "start", "mu", "w"), GROUPS), "grp").withColumn("d2", distance2())
+        moments = _moments(far.withColumn("bin", edge), "grp", "start", "bin")
+        return common.durable(moments.groupBy("grp", "start").applyInPandas(_concentrate(last), _STATE))
+
+    for n in range(steps + more):
+        new = step(state, near)
+        if n + 1 == steps:  # of each group's starts the one of the least determinant
+            least = new.groupBy("grp").agg(F.min(F.struct("log_det", "start", "mu", "w", "n_used")).alias("x"))
+            best = common.durable(least.select("grp", "x.start", "x.mu", "x.w", "x.log_det", "x.n_used"))
+            common.drop(new)
+            new = best
+        done = n >= steps and new.join(state.select("grp", F.col("log_det").alias("old_")), "grp").where(F.col("old_") - F.col("log_det") > 1e-3).isEmpty()
         common.drop(state)
         state = new
-    return state
+        if done:
+            break
+    new = step(state, F.when(F.col("d2") <= radius, 0).otherwise(1), True)
+    common.drop(state)
+    return new
 
 
-def judged(docs: DataFrame, tail: float = 1e-6, least: int = 100, min_words: int = 20, repeat_percent: int = 30) -> DataFrame:
-    """(doc_id, the base counts, base_failed, kept, distance): distance is null where no estimate exists."""
-    stats = common.durable(grouped(common.durable(statistics(docs)), least))
-    fit = stats.where(F.col("n_words") >= min_words)
-    state = robust_state(fit)
+def judged(docs: DataFrame, tail: float = TAIL, least: int = 100, min_words: int = 20, repeat_percent: int = 30, judge_words: int = 20, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, the base counts, base_failed, kept, distance, also): distance is null where no estimate exists. Texts
+    under judge_words words say too little for a distance: they neither enter an estimate nor are judged by it."""
+    stats = common.durable(grouped(common.durable(statistics(docs, also)), least))
+    long = F.col("n_words") >= judge_words
+    state = robust_state(stats.where(long))
     enough = common.if_small(state.where(F.col("n_used") * 2 >= LEAST_ANY).select("grp", "mu", "w"), GROUPS)
     bad = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * repeat_percent)
     out = stats.join(enough, "grp", "left").withColumn("distance", F.sqrt(distance2())).withColumn("base_failed", bad)
     limit = math.sqrt(chi2_quantile(1 - tail, P))
-    return out.select("doc_id", *_COUNTS, "base_failed", (~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= limit)).alias("kept"), F.when(F.col("n_words") > 0, F.col("distance")).alias("distance"))
+    kept = ~F.col("base_failed") & (~long | (F.coalesce(F.col("distance"), F.lit(0.0)) <= limit))
+    return out.select("doc_id", *_COUNTS, "base_failed", kept.alias("kept"), F.when(F.col("n_words") > 0, F.col("distance")).alias("distance"), *also)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

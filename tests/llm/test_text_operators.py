@@ -106,9 +106,52 @@ def test_outliers_go_and_clean_stays(spark):
     rows = [(i, prose(rng.randrange(30, 900)), "en", f"s{i % 2}") for i in range(400)]
     rows += [(1000 + i, " ".join(w + "###" for w in prose(100).split()), "en", "s0") for i in range(40)]
     rows += [(2000 + i, prose(100).upper() + "!!", "en", "s1") for i in range(40)]
+    # Bad in one statistic only: half of the lines are one line repeated, between lines of their own.
+    rows += [(3000 + i, "\n".join(x for _ in range(20) for x in (prose(12), "Top of page")), "en", "s0") for i in range(20)]
     got = {r["doc_id"]: r for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert sum(got[i]["kept"] for i in range(400)) >= 398
     assert not any(got[i]["kept"] for i in got if i >= 1000)
+    assert not any(got[i]["base_failed"] for i in got)
+
+
+def plain_mcd(x, seeds):
+    """The least determinant over many starts of concentration steps on the whole matrix, exact halves."""
+    h, best = (len(x) + x.shape[1] + 1) // 2, None
+    for seed in range(seeds):
+        at = np.random.default_rng(seed).choice(len(x), 20, replace=False)
+        for _ in range(30):
+            mu, cov = x[at].mean(axis=0), np.cov(x[at].T, bias=True)
+            cov += np.diag(np.maximum(np.square(quality.FLOOR) - np.diag(cov), 0) + 1e-9)
+            d = np.einsum("ij,ij->i", (x - mu) @ np.linalg.inv(cov), x - mu)
+            at = np.argsort(d, kind="stable")[:h]
+        if best is None or np.linalg.slogdet(cov)[1] < best[0]:
+            best = np.linalg.slogdet(cov)[1], mu, cov
+    return best
+
+
+def test_estimate_against_plain(spark):
+    """A fifth of the rows is a far cluster: the estimate lands on the larger part, as the plain search does."""
+    rng = np.random.default_rng(8)
+    mix = np.eye(7) + 0.4 * rng.normal(size=(7, 7)) / 7
+    x = np.concatenate([rng.normal(size=(600, 7)) @ mix.T, rng.normal(size=(150, 7)) * 0.8 + 6])
+    rows = [(i, "g", *map(float, v)) for i, v in enumerate(x)]
+    stats = spark.createDataFrame(rows, "doc_id long, grp string, " + ", ".join(f"{c} double" for c in quality.STATS))
+    got = quality.robust_state(stats).collect()[0]
+    _, mu, cov = plain_mcd(x, 10)
+    assert np.abs(np.array(got["mu"]) - mu).max() < 0.25
+    far = lambda m, c: np.einsum("ij,ij->i", (x - m) @ np.linalg.inv(c), x - m)
+    white = np.zeros((7, 7))
+    for (i, j), v in zip(quality._PAIRS, got["w"]):
+        white[i, j] = v
+    ours = (((x - np.array(got["mu"])) @ white.T) ** 2).sum(axis=1)
+    assert np.corrcoef(np.log(ours), np.log(far(mu, cov)))[0, 1] > 0.97
+    assert ours[600:].min() > quality.chi2_quantile(1 - quality.TAIL, 7) > np.quantile(ours[:600], 0.99)
+
+
+def test_same_hash_windows_differ():
+    words = [b"w%d" % (i % 11) for i in range(60)]
+    assert quality.repeated_words(words) == 60
+    assert quality.repeated_words([b"w%d" % i for i in range(60)]) == 0
 
 
 def test_quality_odd(odd, none):
