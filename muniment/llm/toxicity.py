@@ -2,8 +2,8 @@
 
 A sentence's score is a logistic function of its words' weights; a document is toxic unless every
 sentence is not: P = 1 - prod(1 - p_s). Only document labels are known, so the likelihood of the noisy-or
-is what training climbs (Adam, all of the sample at once), and the sentence scores come out of it:
-locate() lists the sentences to blame.
+is what training climbs (Adam, all of the sample at once), and the sentence scores come out of it, which
+locate the sentences to blame.
 
 The sample is drawn by a hash of the id and bounded by `max_docs`. Features of fewer than `least_docs` sampled
 documents get no weight. Scoring covers whole texts.
@@ -28,6 +28,8 @@ from . import common
 
 _WORD, _END = re.compile(r"[^\W_]+"), re.compile(r"[.!?\n]")
 PREFIXES = (4, 5, 6, 7, 8)
+#: Labels (an id and a bit) are broadcast up to so many, joined by a shuffle beyond.
+LABELS = 1_000_000
 
 
 def features(word: str) -> list[str]:
@@ -129,49 +131,50 @@ def fit(texts: list[str], label: np.ndarray, least_docs: int = 8, rounds: int =
 
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = 4000) -> Model:
-    """A model from (doc_id, text) and (doc_id, toxic); about max_docs labelled documents are used at most."""
-    labels = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n = labels.count()
+    """A model from (doc_id, text) and (doc_id, toxic); about max_docs labelled rows are used at most, repeated ones once."""
+    labels = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    labels = common.if_small(common.durable(labels), LABELS)
+    n = docs.select("doc_id").join(labels, "doc_id").count()
+    picked = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(labels, "doc_id")
     if n > max_docs:
-        labels = labels.where(common.unit_hash("doc_id") < max_docs / n)
-    picked = docs.select("doc_id", "text").join(common.if_small(labels, 2 * max_docs), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic"))
-
+        picked = picked.where(common.unit_hash("doc_id", "text") < max_docs / n)
+    picked = picked.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic").distinct()
     rows = sorted((r["doc_id"], r["text"] or "", r["toxic"]) for r in picked.toLocalIterator())
     return fit([t for _, t, _ in rows], np.array([y for *_, y in rows]))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) of every whole text."""
-    weights, bias = dict(model), model.bias
-
-    def run(batches):
-        score = Model(weights, bias).scorer()
-        for batch in common.slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([score(t)[0] for t in batch.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
-
-
 _SENTENCE = re.compile(r"[^.!?\n]+")
 
 
-def locate(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
-    """(doc_id, start, end, sentence, score): the sentences that score at least `least`, code points."""
+def scored(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
+    """(doc_id, score, offending) of every whole text; offending: the (start, end, score) in code points of a text
+    of at least `least` whose sentences score that much, or if none does alone, of its highest sentence."""
     weights, bias = dict(model), model.bias
 
+    def blame(score, text: str) -> list[dict]:
+        found = [{"start": m.start(), "end": m.end(), "score": score(m.group())[0]} for m in _SENTENCE.finditer(text)]
+        bad = [x for x in found if x["score"] >= least]
+        return bad or [max(found, key=lambda x: x["score"])]
+
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
+
     def run(batches):
         score = Model(weights, bias).scorer()
         for batch in common.slices(batches):
-            out = []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if score(t)[0] < least:
-                    continue
-                out += [(i, m.start(), m.end(), m.group(), p) for m in _SENTENCE.finditer(t) if (p := score(m.group())[0]) >= least]
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "start", "end", "sentence", "score"])
+            texts = batch.column(1).to_pylist()
+            total = [score(t)[0] for t in texts]
+            marked = [blame(score, t) if s >= least else [] for t, s in zip(texts, total, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.float64()), pa.array(marked, kind)], ["doc_id", "score", "offending"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, start long, end long, sentence string, score double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, score double, offending array<struct<start:long,end:long,score:double>>")
+
+
+def locate(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
+    """(doc_id, start, end, sentence, score): the offending sentences, one row each."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).distinct()
+    told = scored(rows.select("doc_id", "text"), model, least).where(F.size("offending") > 0).select("doc_id", F.explode("offending").alias("o")).distinct()
+    return told.join(rows, "doc_id").select("doc_id", "o.start", "o.end", F.substring("text", F.col("o.start") + 1, F.col("o.end") - F.col("o.start")).alias("sentence"), "o.score")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,4 +182,5 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = common.table(spark, sf_dir, "labels").select("doc_id", "toxic")
     held = F.coalesce(common.fold_of("doc_id", 4) == 2, F.lit(False))
     model = train(docs, labels.where(~held))
-    return scored(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    spans = F.array_join(F.transform("offending", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return scored(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), spans.alias("offending"))
