@@ -5,7 +5,8 @@ features are its shape, its digits and marks, and the same of its neighbours. It
 ascent (forward-backward in numpy) on a small labelled table, built from templates here unless one is
 given, and decoded by Viterbi over many lines at once. It adds spans the patterns can't state: numbers in
 national form, addresses written out with (at) and [dot], keys and tokens. It never takes a base span away:
-what overlaps one, or lacks the digits or marks its kind must have, is not added.
+what base spans cover is cut out of a labelled run of words, and a run that lacks the digits or marks its kind
+must have, or has too many, is split at its words and at = : , ; into the shortest runs that have them.
 
 A line without a digit, an @ or a bracketed at holds no span by definition and is not decoded; all other
 lines of a text are, whole, whatever their length.
@@ -17,6 +18,7 @@ exclusive. Only doc_id and text are read.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterable
@@ -35,7 +37,7 @@ KINDS = (*BASE, "secret")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")  # a match can't begin within digits: what precedes them would
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -90,7 +92,7 @@ _RUNS = re.compile(r"[0-9]+|[A-Z]+|[a-z]+|[^\x00-\x7f]+|.", re.DOTALL)
 def shape(word: str) -> str:
     """Runs of one character class by class and rough length; marks as they are."""
     out = []
-    for run in _RUNS.findall(word[:64]):
+    for run in _RUNS.findall(word):
         c, n = run[0], len(run)
         if c.isdigit() and c.isascii():
             out.append(f"9{n if n < 5 else 5 if n < 13 else 13}")
@@ -98,7 +100,7 @@ def shape(word: str) -> str:
             out.append("A" if c.isupper() else "a")
         else:
             out.append(c)
-    return "".join(x for i, x in enumerate(out) if i < 14 and (i == 0 or x != out[i - 1] or x not in "#*$%&!"))
+    return "".join(x for i, x in enumerate(out) if i == 0 or x != out[i - 1] or x not in "#*$%&!")
 
 
 _SAID = ("(at)", "[at]", "(dot)", "[dot]", "token", "key", "secret", "password", "=", ":", "tel", "phone", "call", "card", "ip", "email")
@@ -293,7 +295,7 @@ _CUE = re.compile(r"[0-9@]|[(\[]at[)\]]", re.IGNORECASE)
 _LINE = re.compile(r"[^\n]+")
 _EDGE = ",.;:!?\"'#*$%&|<>"
 _NEEDS = {
-    "email": lambda s: "@" in s and "." in s or re.search(r"[(\[]at[)\]]", s, re.IGNORECASE),
+    "email": lambda s: "@" in s[1:] and "." in s or re.search(r"[(\[]at[)\]]", s, re.IGNORECASE),
     "ip": lambda s: len(p := re.findall(r"[0-9]+", s)) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in p) and not re.search(r"[^0-9. ]", s),
     "card": lambda s: 13 <= len(_digits(s)) <= 19 and not re.search(r"[^0-9 -]", s),
     "phone": lambda s: 10 <= len(_digits(s)) <= 15 and not re.search(r"[^0-9 ().+-]", s),
@@ -338,6 +340,7 @@ class Finder:
                 e[:-1] += by[1:, 2]
                 todo.append((n, words))
                 emit.append(e)
+        taken = {n: _merged(out[n]) for n in {n for n, _ in todo}}
         for (n, words), path in zip(todo, self.field.decode(emit), strict=True):
             at = 0
             while at < len(path):
@@ -345,19 +348,68 @@ class Finder:
                 while end < len(path) and path[end] == path[at]:
                     end += 1
                 if path[at]:
-                    self._add(out[n], texts[n], LABELS[path[at]], words[at][0], words[end - 1][1])
+                    for s, e in _free(taken[n], words[at][0], words[end - 1][1]):
+                        out[n] += [(LABELS[path[at]], *x) for x in _pieces(texts[n], LABELS[path[at]], s, e)]
                 at = end
         order = {k: i for i, k in enumerate(KINDS)}
         return [(b, sorted(x, key=lambda s: (order[s[0]], s[1]))) for b, x in zip(base, out, strict=True)]
 
-    @staticmethod
-    def _add(have: list, text: str, kind: str, start: int, end: int) -> None:
-        while start < end and text[start] in _EDGE:
-            start += 1
-        while start < end and text[end - 1] in _EDGE:
-            end -= 1
-        if start < end and _NEEDS[kind](text[start:end]) and not any(s < end and e > start for _, s, e in have):
-            have.append((kind, start, end))
+
+def _merged(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that spans cover, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, s, e in sorted(spans, key=lambda x: x[1]):
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
+def _free(taken: tuple[list[int], list[int]], start: int, end: int) -> Iterable[tuple[int, int]]:
+    """What of start..end no stretch covers."""
+    starts, ends = taken
+    k = bisect.bisect_right(ends, start)
+    while k < len(starts) and starts[k] < end:
+        if starts[k] > start:
+            yield start, starts[k]
+        start, k = max(start, ends[k]), k + 1
+    if start < end:
+        yield start, end
+
+
+def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:
+    while start < end and (text[start] in _EDGE or text[start].isspace()):
+        start += 1
+    while start < end and (text[end - 1] in _EDGE or text[end - 1].isspace()):
+        end -= 1
+    return start, end
+
+
+_PARTS, _WIDEST = re.compile(r"[^\s=:,;\"'<>|]+"), 64  # no number or address that _NEEDS lets through is wider
+
+
+def _pieces(text: str, kind: str, start: int, end: int) -> Iterable[tuple[int, int]]:
+    """The spans of a labelled stretch: all of it if that is one, else the shortest runs of its parts that are."""
+    s, e = _trimmed(text, start, end)
+    if s < e and e - s <= 4 * _WIDEST and _NEEDS[kind](text[s:e]):
+        yield s, e
+        return
+    parts = [m.span() for m in _PARTS.finditer(text, start, end)]
+    i = 0
+    while i < len(parts):
+        j = i
+        while j < len(parts) and (j == i or parts[j][1] - parts[i][0] <= _WIDEST):
+            s, e = _trimmed(text, parts[i][0], parts[j][1])
+            if s < e and _NEEDS[kind](text[s:e]):
+                yield s, e
+                break
+            j += 1
+        else:
+            j = i
+        i = j + 1
 
 
 def found(docs: DataFrame, field: Field | None = None) -> DataFrame:
