@@ -1,8 +1,10 @@
 """PII, quality, licences, toxicity and language, against plain forms and on odd tables."""
 
 import hashlib
+import os
 import random
 import re
+import textwrap
 
 import duckdb
 import numpy as np
@@ -201,18 +203,44 @@ def test_quality_odd(odd, none):
     assert quality.judged(none).count() == 0
 
 
+def wrapped(text, width, prefix=""):
+    return "\n".join(prefix + x for part in text.split("\n") for x in textwrap.wrap(part, width))
+
+
 def test_licenses(spark, odd, none):
-    mit = next(t for n, t in licenses.TEXTS if n == "MIT")
-    rows = [(1, "Copyright (c) 2020 A. Body\n\n" + mit.replace(",", " ,").upper()), (2, "words\nReleased  under the MIT LICENCE!\nmore"), (3, mit + " extra"), (4, None), (5, "All rights reserved.")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    text = dict(licenses.TEXTS)
+    rows = [("MIT", "", "Copyright (c) 2020 A. Body\n\n" + text["MIT"].replace(",", " ,").upper()), (None, "MIT", "words\nReleased  under the MIT LICENCE!\nmore"), (None, "", text["MIT"] + " extra"), (None, "", None), (None, "reserved", "All rights reserved."), (None, "", "")]
+    heads = {"MIT": "MIT License\n\nCopyright (c) 2019-2024 Some Body <a@b.org>\n\n", "ISC": "ISC License\n\nCopyright (c) 4-digit year, Company\n\n", "BSD-2-Clause": "BSD 2-Clause License\n\nCopyright 2001, Somebody\nAll rights reserved.\n\n", "BSD-3-Clause": 'BSD 3-Clause "New" or "Revised" License\n\nCopyright © 2001 Somebody\n\n', "Zlib": "zlib License\n\n(C) 2010 Somebody\n\n"}
+    for name, body in licenses.TEXTS:
+        for width, prefix in ((60, ""), (72, "  "), (79, " * "), (41, "# ")):
+            note = "reserved" if name == "BSD-2-Clause" else ""
+            rows.append((name, note, heads.get(name, "") + wrapped(body, width, prefix)))
+    wrap = 'provided that the above\ncopyright notice and this permission notice appear in all copies.'  # the usual wrapping of ISC
+    rows += [("ISC", "", text["ISC"].replace("provided that the above copyright notice and this permission notice appear in all copies.", wrap)), ("BSD-3-Clause", "", text["BSD-3-Clause"].replace("1.", "*").replace("2.", "*").replace("3.", "*"))]
+    rows += [(None, "", text["MIT"] + "\n(c) You owe me money."), (None, "", text["MIT"] + "\ncopyright holders may ask for more")]
+    df = spark.createDataFrame([(i, t) for i, (*_, t) in enumerate(rows)], "doc_id long, text string")
     got = {r["doc_id"]: (r["license"], r["notices"]) for r in licenses.scan(df).collect()}
-    assert got == {1: ("MIT", ""), 2: (None, "MIT"), 3: (None, ""), 4: (None, ""), 5: (None, "reserved")}
+    assert [got[i] for i in range(len(rows))] == [(a, b) for a, b, _ in rows]
     c = duckdb.connect()
     c.register("documents", df.toPandas())
     assert {r[0]: r[2:] for r in c.sql(licenses.OP4_SQL).fetchall()} == got
     assert licenses.scan(odd).count() == odd.count() and licenses.scan(none).count() == 0
 
 
+def test_license_words(spark):
+    """Equivalent words side by side, and the long licences' digests where their files lie on this machine."""
+    said = [("LICENCE LICENCE", "license license"), ("a sub-licence", "a SUB licence"), ("V2 v3", "version 2 version 3"), ("http://x.y http://x.y", "https x y https x y")]
+    df = spark.createDataFrame([(str(i), t) for i, pair in enumerate(said) for t in pair], "name string, text string")
+    by = {}
+    for r in licenses.digest_of(df).collect():
+        by.setdefault(r["name"], set()).add(r["digest"])
+    assert all(len(v) == 1 for v in by.values())
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    here = [(n, open(f"/usr/share/common-licenses/{f}", encoding="utf-8").read()) for n, f in files.items() if os.path.exists(f"/usr/share/common-licenses/{f}")]
+    for r in licenses.digest_of(spark.createDataFrame(here, "name string, text string")).collect() if here else []:
+        assert (r["name"], r["digest"]) in licenses.DIGESTS
+
+
 def test_toxicity(spark, odd, none):
     rng = random.Random(6)
     words = [f"w{i}" for i in range(200)]
