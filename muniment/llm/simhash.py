@@ -67,7 +67,11 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
 
 
 def fingerprint(text: str | None, width: int) -> int:
-    hashes = shingle_hashes(text, width)
+    return majority(shingle_hashes(text, width))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Each bit that is set in over half of the hashes."""
     if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)

@@ -1,6 +1,9 @@
 import random
 
+import numpy as np
+
 from muniment.llm import shingles as S
+from muniment.llm import simhash
 
 
 def brute_similarity(a, b):
@@ -45,7 +48,7 @@ def test_unlike_texts_of_one_bucket(spark, monkeypatch):
     monkeypatch.setattr(S, "LEADERS", 3)
     rows = near_copies(random.Random(4), groups=14, copies=2, edits=(1, 2))
     texts = spark.createDataFrame(rows, "doc_id long, text string")
-    keys = spark.createDataFrame([(1, i, len(S.shingle_set(t))) for i, t in rows], "key long, doc_id long, n long")
+    keys = spark.createDataFrame([(1, i, len(S.shingle_set(t)), 0) for i, t in rows], "key long, doc_id long, n long, fp long")
     gone = {r["b"] for r in S._links(texts, keys, 5, 0.8).collect()}
     assert gone == {i for i, _ in rows if i % 10}
 
@@ -55,3 +58,30 @@ def test_odd(odd, none):
     assert got[3] == got[2] == 1 and got[8] == 6 and got[5] == 4 and got[9] == 9 and None not in got
     assert S.near_duplicates(odd).count() == odd.where("doc_id IS NOT NULL").count()
     assert S.near_duplicates(none).count() == 0
+
+
+def test_radius_lets_similar_pairs_pass():
+    """Sets of 0.8 similarity, of any size: their fingerprints lie within the radius."""
+    rng, a, b = np.random.default_rng(9), [], []
+    for n in [9, 18, 27, 90, 900] * 400:
+        common = rng.integers(0, 1 << 64, 8 * n // 9, np.uint64)
+        for out in (a, b):
+            out.append(simhash.majority(np.concatenate([common, rng.integers(0, 1 << 64, n // 9, np.uint64)])))
+    a, b = np.array(a, np.uint64), np.array(b, np.uint64)
+    assert simhash.close_pairs(a, b, S.RADIUS).mean() >= 0.998
+    assert simhash.close_pairs(a, np.roll(b, 5), S.RADIUS).mean() <= 0.12
+
+
+def test_rows_of_one_id(spark):
+    """Repeated ids: only the row that is a near copy goes, of repeated rows one stays, rows without an id are compared too."""
+    import corpus_pipeline as P
+
+    text = [" ".join(f"{c}{i}" for i in range(60)) for c in "abc"]
+    rows = [(1, text[0], "en", "s", 1), (1, text[1], "en", "s", 1), (2, text[0], "en", "s", 1), (3, text[2], "en", "s", 1), (3, text[2], "en", "s", 1), (None, text[2] + " end", None, None, None), (None, "", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, row_ long")
+    got = dict(P.STAGES)["SimHash near-dedup"](spark, docs, "")
+    assert got.columns == docs.columns
+    kept = sorted(r["text"][:2] for r in got.collect())
+    assert kept == ["", "a0", "b0", "c0"]
+    judged = dict(P.STAGES)["quality rules"](spark, docs, "").collect()
+    assert len(judged) == 6 and "" not in {r["text"] for r in judged}
