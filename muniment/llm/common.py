@@ -50,6 +50,12 @@ def drop(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps: its cleaner does so once the driver's collector has
+    found the plans dead, which a driver with memory to spare does late."""
+    spark._jvm.System.gc()
+
+
 def if_small(df: DataFrame, rows: int) -> DataFrame:
     """Marked for broadcast if it has at most so many rows; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.count() <= rows else df
