@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import common
 from .quality import chi2_quantile
 
-M, TAU, LEAF, SHARD, BLOCK, CELLS, SAMPLE = 24, 0.92, 64, 8192, 1 << 17, 4096, 1 << 16
+M, TAU, LEAF, SHARD, BLOCK, CELLS, SAMPLE = 24, 0.92, 64, 8192, 1 << 17, 4096, 1 << 15
 LIMIT = chi2_quantile(TAU, M)
 
 
@@ -226,9 +226,16 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, shard: int = SHAR
     counts = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard).collect()}
     trees: dict[int, Cells] = {}
     for dim, n in counts.items():
-        drawn = rows.where((F.col("dim") == dim) & (common.unit_hash("vec_id", "v") < SAMPLE / n)).select("vec_id", "v").limit(2 * SAMPLE)  # the bound of a driver that met an unlikely draw
-        sample = np.array(sorted((r["v"]) for r in drawn.collect()), np.float64).reshape(-1, dim)
-        trees[dim] = Cells(sample @ directions(dim), min(CELLS, -(-n // shard)))
+        drawn = rows.where((F.col("dim") == dim) & (common.unit_hash("vec_id", "v") < SAMPLE / n)).select("vec_id", "v").distinct()
+
+        def project(batches, w=directions(dim)):
+            for batch in common.slices(batches, 4096):
+                points = (_vectors(batch.column(1)) @ w).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array(points[:, i]) for i in range(M)], [f"p{i}" for i in range(M)])
+
+        found = drawn.mapInArrow(project, ", ".join(f"p{i} float" for i in range(M))).toArrow()
+        sample = np.stack([c.to_numpy() for c in found.columns], axis=1).astype(np.float64)
+        trees[dim] = Cells(sample[np.lexsort(sample.T)], min(CELLS, -(-n // shard)))
 
     def place(batches):
         for batch in common.slices(batches, 4096):
