@@ -48,7 +48,7 @@ def test_unlike_texts_of_one_bucket(spark, monkeypatch):
     monkeypatch.setattr(S, "LEADERS", 3)
     rows = near_copies(random.Random(4), groups=14, copies=2, edits=(1, 2))
     texts = spark.createDataFrame(rows, "doc_id long, text string")
-    keys = spark.createDataFrame([(1, i, len(S.shingle_set(t)), 0) for i, t in rows], "key long, doc_id long, n long, fp long")
+    keys = spark.createDataFrame([(0, 1, i, len(S.shingle_set(t)), 0) for i, t in rows], "band int, key long, doc_id long, n long, fp long")
     gone = {r["b"] for r in S._links(texts, keys, 5, 0.8).collect()}
     assert gone == {i for i, _ in rows if i % 10}
 
