@@ -41,7 +41,7 @@ STATS = ("x_words", "x_length", "x_symbols", "x_lines", "x_repeat", "x_upper", "
 #: reject by itself: half of the lines repeated, or 29 % of the words in repeated windows, lie beyond the limit.
 FLOOR = (0.6, 0.08, 0.06, 0.115, 0.09, 0.08, 0.05)
 TAIL = 1e-5  # share of a normal group that the limit would reject
-P, STEPS, MORE, BINS, GROUPS, LEAST_ANY = len(STATS), 2, 8, 160, 200_000, 30
+P, STEPS, MORE, BINS, GROUPS, LEAST_ANY = len(STATS), 2, 4, 160, 200_000, 30
 SUBSETS, SUBSET, GRID = 4, 12, 0.02
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
@@ -292,7 +292,7 @@ def robust_state(stats: DataFrame, steps: int = STEPS, more: int = MORE) -> Data
             best = common.durable(least.select("grp", "x.start", "x.mu", "x.w", "x.log_det", "x.n_used"))
             common.drop(new)
             new = best
-        done = n >= steps and new.join(state.select("grp", F.col("log_det").alias("old_")), "grp").where(F.col("old_") - F.col("log_det") > 1e-3).isEmpty()
+        done = n >= steps and new.join(state.select("grp", F.col("log_det").alias("old_")), "grp").where(F.col("old_") - F.col("log_det") > 0.02).isEmpty()
         common.drop(state)
         state = new
         if done:
