@@ -145,21 +145,22 @@ class Field:
     def fit(self, lines: list[tuple[list[str], list[int]]], rounds: int = 45, rate: float = 0.1, decay: float = 1e-3) -> None:
         """Adam on the log-likelihood, all lines in one padded batch."""
         k, n, top = len(LABELS), len(lines), max(len(w) for w, _ in lines)
-        names: dict[str, list[int]] = {}
-        feature = np.zeros((n, top + 2, WIDTH), np.float32)  # a word of padding on either side
+        number: dict[str, int] = {"": 0}  # distinct words; 0 is the padding on either side of a line
+        word = np.zeros((n, top + 2), int)
         gold, mask = np.zeros((n, top), int), np.zeros((n, top), bool)
         for i, (words, labels) in enumerate(lines):
-            for t, word in enumerate(words):
-                for s in names.setdefault(word, [_slot(x) for x in traits(word)]):
-                    feature[i, t + 1, s] += 1
+            word[i, 1 : len(words) + 1] = [number.setdefault(w, len(number)) for w in words]
             gold[i, : len(words)], mask[i, : len(words)] = labels, True
+        feature = np.zeros((len(number), WIDTH))
+        for w, r in number.items():
+            for s in [_slot(x) for x in traits(w)] if r else []:
+                feature[r, s] += 1
         size = mask.sum(axis=1)
-        flat = feature.reshape(-1, WIDTH)
         m = [np.zeros_like(x) for x in (self.w, self.t, self.first, self.last)]
         v = [np.zeros_like(x) for x in m]
         for step in range(1, rounds + 1):
-            each = [(flat @ self.w[j].astype(np.float32)).reshape(n, top + 2, k) for j in range(3)]
-            e = (each[0][:, :-2] + each[1][:, 1:-1] + each[2][:, 2:]).astype(float)
+            each = [feature @ self.w[j] for j in range(3)]
+            e = each[0][word[:, :-2]] + each[1][word[:, 1:-1]] + each[2][word[:, 2:]]
             # Forward and backward sums in logarithms.
             alpha, beta = np.zeros((n, top, k)), np.zeros((n, top, k))
             alpha[:, 0] = self.first + e[:, 0]
@@ -180,7 +181,11 @@ class Field:
             ends = size - 1
             g_first = np.eye(k)[gold[:, 0]].sum(axis=0) - p[:, 0].sum(axis=0)
             g_last = np.eye(k)[gold[np.arange(n), ends]].sum(axis=0) - p[np.arange(n), ends].sum(axis=0)
-            g_w = np.stack([feature[:, j : j + top].reshape(-1, WIDTH).T @ g_e.reshape(-1, k).astype(np.float32) for j in range(3)])
+            g_w = np.zeros_like(self.w)
+            for j in range(3):
+                by_word = np.zeros((len(number), k))
+                np.add.at(by_word, word[:, j : j + top].ravel(), g_e.reshape(-1, k))
+                g_w[j] = feature.T @ by_word
             for q, (x, g) in enumerate(zip((self.w, self.t, self.first, self.last), (g_w, g_t, g_first, g_last), strict=True)):
                 g = g / n - decay * x
                 m[q] = 0.9 * m[q] + 0.1 * g
