@@ -72,13 +72,17 @@ def unit_hash(*columns: str) -> Column:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """The batches a few rows at a time, so that a task holds few texts as Python objects. At the end the
-    allocators' spare memory goes back to the system: workers outlive their tasks, and the next operator's
-    peak would come on top of what they keep."""
+    """The batches a few rows at a time, so that a task holds few texts as Python objects. At the end spare()."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
     del batches
+    spare()
+
+
+def spare() -> None:
+    """Gives the allocators' spare memory back to the system: workers outlive their tasks, and the next operator's
+    peak would come on top of what they keep."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

@@ -296,6 +296,7 @@ def train(table: Iterable[tuple[str, list[tuple[str, int, int]]]] | None = None)
 
 # -- both ---------------------------------------------------------------------------------------------
 
+SLICE = 200  # texts whose words a task holds at once
 _CUE = re.compile(r"[0-9@]|[(\[]at[)\]]", re.IGNORECASE)
 _LINE = re.compile(r"[^\n]+")
 _EDGE = ",.;:!?\"'#*$%&|<>"
@@ -317,7 +318,7 @@ class Finder:
 
     def _three(self, word: str):
         if (x := self.cache.get(word)) is None:
-            if len(self.cache) > 200_000:
+            if len(self.cache) > 50_000:
                 self.cache.clear()
             slots = [_slot(t) for t in traits(word)]
             x = self.cache[word] = self.field.w[:, slots].sum(axis=1)
@@ -426,7 +427,7 @@ def found(docs: DataFrame, field: Field | None = None) -> DataFrame:
 
     def run(batches):
         finder = Finder(field)
-        for part in common.slices(batches, 1000):
+        for part in common.slices(batches, SLICE):
             texts = [t or "" for t in part.column(1).to_pylist()]
             spans = finder.both(texts)
             rows = [[{"kind": k, "start": s, "end": e, "value": t[s:e]} for k, s, e in x] for t, (_, x) in zip(texts, spans, strict=True)]
@@ -435,6 +436,8 @@ def found(docs: DataFrame, field: Field | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(rows, kind), pa.array(counts, pa.list_(pa.int64())), pa.array(sums, pa.string())], ["doc_id", "spans", "n_base", "base_sha256"]
             )
+        del finder
+        common.spare()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
@@ -450,7 +453,7 @@ def masked(docs: DataFrame, field: Field | None = None) -> DataFrame:
 
     def run(batches):
         finder = Finder(field)
-        for batch in common.slices(batches, 1000):
+        for batch in common.slices(batches, SLICE):
             texts = batch.column(at).to_pylist()
             out = []
             for text, spans in zip(texts, finder.spans([t or "" for t in texts]), strict=True):
@@ -461,6 +464,8 @@ def masked(docs: DataFrame, field: Field | None = None) -> DataFrame:
                         last = e
                 out.append(text if text is None or not parts else "".join([*parts, text[last:]]))
             yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
+        del finder
+        common.spare()
 
     return docs.mapInArrow(run, docs.schema)
 
