@@ -170,12 +170,16 @@ def _above(counter: list[np.ndarray], radius: int) -> np.ndarray:
 
 
 def close_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    """Which a[i], b[i] differ in at most `radius` bits: 64 pairs to a machine word, planes of both stood vertically."""
+    """Which a[i], b[i] differ in at most `radius` bits, one machine word a value or several (rows, words): 64 pairs to
+    a machine word, the planes of both stood vertically."""
     if not len(a):
         return np.zeros(0, bool)
-    (pa, _, lanes), (pb, *_) = (planes_of(x, np.array([0]), np.array([len(x)])) for x in (a, b))
-    word, mask = count_planes(lambda p, alive: pa[p][alive] ^ pb[p][alive], len(lanes), np.arange(64), radius)
-    out = np.zeros((len(lanes), 64), bool)
+    a, b = a.reshape(len(a), -1), b.reshape(len(b), -1)
+    whole = np.array([0]), np.array([len(a)])
+    pa, pb = (np.concatenate([planes_of(np.ascontiguousarray(x[:, k]), *whole)[0] for k in range(x.shape[1])]) for x in (a, b))
+    n = pa.shape[1]
+    word, mask = count_planes(lambda p, alive: pa[p][alive] ^ pb[p][alive], n, np.arange(len(pa)), radius)
+    out = np.zeros((n, 64), bool)
     out[word] = _lanes(mask)
     return out.ravel()[: len(a)]
 
