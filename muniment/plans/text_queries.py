@@ -57,7 +57,7 @@ _SPAN = r"[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿœ]+(?:\s+(?:(?:de|of|von|van|der|den|le|
 p AS (SELECT doc_id, unnest(f) AS raw, unnest(g[1:len(f)]) AS gap, generate_subscripts(f, 1) AS i FROM x)
 SELECT doc_id, raw, (sum(length(gap) + length(raw)) OVER (PARTITION BY doc_id ORDER BY i) - length(raw))::BIGINT AS start FROM p""")
 def mention_offsets(spark, sf_dir):
-    return X.matches(table(spark, sf_dir, "documents"), _SPAN, "name").select("doc_id", "raw", F.col("start").cast("long").alias("start"))
+    return X.matches(table(spark, sf_dir, "documents"), {"name": _SPAN}).select("doc_id", "raw", F.col("start").cast("long").alias("start"))
 
 
 _GROUPS = "|".join(X.COLLECTIVES)
