@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Spark's setting that deletes an execution's shuffle files at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,10 +38,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def durable(df: DataFrame) -> DataFrame:
     """df written as a table in the shared folder and read again: the lineage ends here, and a lost
-    executor takes nothing with it. Its place is kept in `.path_` for drop()."""
+    executor takes nothing with it. Its place is kept in `.path_` for drop(). The shuffle files that it took
+    are deleted once it is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.path_ = path
     return out
@@ -50,9 +60,8 @@ def drop(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps: its cleaner does so once the driver's collector has
-    found the plans dead, which a driver with memory to spare does late."""
+def free_plans(spark: SparkSession) -> None:
+    """Lets the driver collect the plans of finished steps, which a driver with memory to spare does late."""
     spark._jvm.System.gc()
 
 
