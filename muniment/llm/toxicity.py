@@ -29,7 +29,7 @@ from . import common
 _WORD, _END = re.compile(r"[^\W_]+"), re.compile(r"[.!?\n]")
 PREFIXES = (4, 5, 6, 7, 8)
 #: Labels (an id and a bit) are broadcast up to so many, joined by a shuffle beyond.
-LABELS = 1_000_000
+LABELS = 200_000
 
 
 def features(word: str) -> list[str]:
