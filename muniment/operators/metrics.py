@@ -142,3 +142,60 @@ def run_totals(runs: DataFrame) -> DataFrame:
 
 def engine_of(llm_chunks: Column, fallback_chunks: Column) -> Column:
     return F.when((llm_chunks > 0) & (fallback_chunks > 0), "mixed").when(llm_chunks > 0, "model").otherwise("heuristic")
+
+
+# -- links against adjudicated pairs ------------------------------------------------------------------
+
+def counted(judged: DataFrame, by: list[str]) -> DataFrame:
+    """The four counts and the agreement of rows (verdict, hit)."""
+    yes, hit = F.col("verdict") == "accepted", F.col("hit")
+    out = judged.groupBy(*by).agg(F.count_if(yes & hit).alias("accept_hit"), F.count_if(yes & ~hit).alias("accept_miss"), F.count_if(~yes & hit).alias("reject_hit"), F.count_if(~yes & ~hit).alias("reject_avoided"))
+    return out.withColumn("agreement", share(F.col("accept_hit") + F.col("reject_avoided"), F.col("accept_hit") + F.col("accept_miss") + F.col("reject_hit") + F.col("reject_avoided")))
+
+
+def fuzzy_keys(asked: DataFrame, keys: DataFrame) -> DataFrame:
+    """(doc_id, norm, key): the key of a document that equals each asked (doc_id, norm), else the first by (pos, key)
+    that is close to it. Equal ones are joined first; only what is left meets its document's keys."""
+    exact = asked.join(keys.select("doc_id", F.col("key").alias("norm")), ["doc_id", "norm"], "left_semi").withColumn("key", F.col("norm"))
+    rest = asked.join(keys.select("doc_id", F.col("key").alias("norm")), ["doc_id", "norm"], "left_anti").join(keys, "doc_id").where(fuzzy.equal_udf("norm", "key"))
+    return exact.unionByName(rest.groupBy("doc_id", "norm").agg(F.min(F.struct("pos", "key"))["key"].alias("key")))
+
+
+def external_agreement(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Agreement of external reconciliation (doc_id, key, pos, qid, score) with adjudicated pairs (doc_id, person, id,
+    verdict): the proposal of a mention is the best scored candidate of its key, the first of equals."""
+    score = F.coalesce("score", F.lit(0.0))
+    best = found.groupBy("doc_id", "key").agg(F.min_by("qid", F.struct(-score, "pos")).alias("qid"), F.min("pos").alias("pos"))
+    asked = pairs.withColumn("norm", T.normalise(F.col("person"), casefold=True))
+    keys = fuzzy_keys(asked.select("doc_id", "norm").distinct(), best.select("doc_id", "key", "pos"))
+    top = keys.join(best.select("doc_id", "key", "qid"), ["doc_id", "key"]).select("doc_id", "norm", "qid")
+    hit = F.coalesce(F.col("qid") == F.regexp_replace("id", "^wikidata:", ""), F.lit(False))
+    return counted(asked.join(top, ["doc_id", "norm"], "left").withColumn("hit", hit), ["doc_id"])
+
+
+def link_sweep(linked: DataFrame, pairs: DataFrame, floors: list[float]) -> DataFrame:
+    """(floor, counts, agreement): links made once at the lowest floor, read at each. A top candidate at a floor
+    is the same at a lower one, so nothing is linked again."""
+    named = linked.where("top_id IS NOT NULL").select("doc_id", T.normalise(F.col("person"), casefold=True).alias("p_norm"), F.col("top_id").alias("id"), "confidence")
+    named = named.groupBy("doc_id", "p_norm", "id").agg(F.max("confidence").alias("score"))
+    asked = pairs.withColumn("norm", T.normalise(F.col("person"), casefold=True))
+    near = asked.select("doc_id", "id", "norm").distinct().join(named, ["doc_id", "id"]).where(fuzzy.equal_udf("norm", "p_norm")).groupBy("doc_id", "id", "norm").agg(F.max("score").alias("score"))
+    rows = asked.join(near, ["doc_id", "id", "norm"], "left").select("verdict", "score", F.explode(F.array(*map(F.lit, floors))).alias("floor"))
+    return counted(rows.withColumn("hit", F.coalesce(F.col("score") >= F.col("floor") - 1e-9, F.lit(False))), ["floor"])
+
+
+def diagnosed(accepted: DataFrame, people: DataFrame, linked: DataFrame) -> DataFrame:
+    """(doc_id, person, id, cause): why each accepted pair is or isn't proposed, from mentions (doc_id, name) and links
+    (doc_id, person, top_id, candidates)."""
+    asked = accepted.select("doc_id", "person", "id", T.normalise(F.col("person"), casefold=True).alias("norm")).distinct()
+    norms = asked.select("doc_id", "norm").distinct()
+    names = people.select("doc_id", T.normalise(F.col("name"), casefold=True).alias("key"), F.lit(0).alias("pos")).distinct()
+    seen = fuzzy_keys(norms, names).select("doc_id", "norm").distinct().withColumn("seen", F.lit(True))
+    ids = F.array_union(F.array_compact(F.array("top_id")), F.coalesce(F.transform("candidates", lambda c: c["authority_id"]), F.array().cast("array<string>")))
+    links = linked.select("doc_id", T.normalise(F.col("person"), casefold=True).alias("p_norm"), "top_id", ids.alias("ids"))
+    near = norms.join(links.select("doc_id", "p_norm").distinct(), "doc_id").where(fuzzy.equal_udf("norm", "p_norm"))
+    near = near.join(links, ["doc_id", "p_norm"]).groupBy("doc_id", "norm").agg(F.collect_set("top_id").alias("tops"), F.array_distinct(F.flatten(F.collect_set("ids"))).alias("ids"))
+    out = asked.join(seen, ["doc_id", "norm"], "left").join(near, ["doc_id", "norm"], "left")
+    has = lambda c: F.coalesce(F.array_contains(c, F.col("id")), F.lit(False))
+    cause = miss_reason(F.coalesce("seen", F.lit(False)), F.coalesce(F.size("ids"), F.lit(0)), has("ids"), has("tops"))
+    return out.select("doc_id", "person", "id", "ids", cause.alias("cause"))

@@ -123,11 +123,6 @@ def document_guess(spark, sf_dir):
     return X.document_guess(table(spark, sf_dir, "documents"))
 
 
-@register("chunks")
-def chunks(spark, sf_dir):
-    return X.chunks(table(spark, sf_dir, "documents")).select("doc_id", "chunk", "start", F.length("text").alias("n"))
-
-
 @register("mentions")
 def mentions(spark, sf_dir):
     return X.reweighted(X.mentions(table(spark, sf_dir, "documents"))).drop("context")
