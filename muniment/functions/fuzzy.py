@@ -102,4 +102,10 @@ def ensemble_udf(a: pd.Series, b: pd.Series) -> pd.Series:
 @F.pandas_udf(T.BooleanType())
 def equal_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     """Evaluation's equality at 90: the same, or words in order alike, plain or without particles."""
-    return pd.Series([x is not None and y is not None and (x == y or sort_ratio(x, y) >= 0.9 or sort_ratio(folded(x), folded(y)) >= 0.9) for x, y in zip(a, b, strict=True)])
+    known: dict[tuple[str, str], bool] = {}
+    out = []
+    for x, y in zip(a, b, strict=True):
+        if (same := known.get((x, y))) is None:
+            same = known[x, y] = x is not None and y is not None and (x == y or sort_ratio(x, y) >= 0.9 or ((folded(x), folded(y)) != (x, y) and sort_ratio(folded(x), folded(y)) >= 0.9))
+        out.append(same)
+    return pd.Series(out, dtype="bool")

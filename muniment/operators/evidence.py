@@ -125,12 +125,33 @@ def uncertain(assertions: DataFrame, predicate: str = "participatedIn") -> DataF
     return assertions.where((F.col("predicate") == predicate) & (F.col("certainty") != "explicit"))
 
 
+# Namespaces of what is published.
+PREFIXES = {
+    "rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "rdfs": "http://www.w3.org/2000/01/rdf-schema#", "owl": "http://www.w3.org/2002/07/owl#", "xsd": "http://www.w3.org/2001/XMLSchema#",
+    "skos": "http://www.w3.org/2004/02/skos/core#", "prov": "http://www.w3.org/ns/prov#", "geo": "http://www.opengis.net/ont/geosparql#", "crm": "http://www.cidoc-crm.org/cidoc-crm/",
+    "wd": "http://www.wikidata.org/entity/",
+}
+BASE = "https://example.org/entity/"
+
+
+def turtle_header(base: str = BASE) -> str:
+    """The prefixes of a Turtle file; names without a prefix are of the base, as relative addresses are."""
+    return "".join(f"@prefix {k}: <{v}> .\n" for k, v in PREFIXES.items()) + f"@prefix : <{base}> .\n@base <{base}> .\n"
+
+
 def serialised(graph: DataFrame) -> DataFrame:
-    """(s, block): a Turtle block a subject, predicates in order."""
-    term = F.when(F.col("o_kind") == "iri", F.concat(F.lit("<"), F.col("o"), F.lit(">"))).when(F.col("o_kind") == "year", F.concat(F.lit('"'), F.col("o"), F.lit('"^^xsd:gYear'))).when(F.col("o_kind") == "decimal", F.concat(F.lit('"'), F.col("o"), F.lit('"^^xsd:decimal'))).otherwise(F.concat(F.lit('"'), T.turtle(F.col("o")), F.lit('"')))
-    line = F.concat(F.col("p"), F.lit(" "), term)
-    lines = graph.select("s", line.alias("l")).groupBy("s").agg(F.array_join(F.array_sort(F.collect_list("l")), " ;\n    ").alias("b"))
-    return lines.select("s", F.concat(F.lit("<"), F.col("s"), F.lit(">\n    "), F.col("b"), F.lit(" .")).alias("block"))
+    """(s, block): a Turtle block a subject, predicates in order. Names with a known prefix stay short, predicates
+    without one are of the base; the rest are addresses."""
+    short = rf"^(?:{'|'.join(PREFIXES)}):\w[\w-]*$"
+    name = lambda c: F.when(c.rlike(short), c).otherwise(F.concat(F.lit("<"), c, F.lit(">")))
+    typed = lambda kind: F.concat(F.lit('"'), F.col("o"), F.lit(f'"^^xsd:{kind}'))
+    term = F.when(F.col("o_kind") == "iri", name(F.col("o"))).when(F.col("o_kind") == "year", typed("gYear"))
+    for kind in ("decimal", "integer", "dateTime"):
+        term = term.when(F.col("o_kind") == kind, typed(kind))
+    term = term.otherwise(F.concat(F.lit('"'), T.turtle(F.col("o")), F.lit('"')))
+    p = F.when(F.col("p").rlike(short), F.col("p")).when(F.col("p").contains(":"), name(F.col("p"))).otherwise(F.concat(F.lit(":"), F.col("p")))
+    lines = graph.select("s", F.concat(p, F.lit(" "), term).alias("l")).groupBy("s").agg(F.array_join(F.array_sort(F.collect_set("l")), " ;\n    ").alias("b"))
+    return lines.select("s", F.concat(name(F.col("s")), F.lit("\n    "), F.col("b"), F.lit(" .")).alias("block"))
 
 
 def tei_standoff(mentions: DataFrame, accepted: DataFrame) -> DataFrame:

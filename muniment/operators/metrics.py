@@ -44,11 +44,8 @@ def linking_agreement(links: DataFrame, pairs: DataFrame) -> DataFrame:
     verdict) against any top candidate of links (doc_id, person, top_id) of an equal person."""
     named = links.where("top_id IS NOT NULL").select("doc_id", T.normalise(F.col("person"), casefold=True).alias("p_norm"), F.col("top_id").alias("id")).distinct()
     asked = pairs.withColumn("norm", T.normalise(F.col("person"), casefold=True))
-    near = asked.join(named, ["doc_id", "id"]).where(fuzzy.equal_udf("norm", "p_norm")).select("doc_id", "person", "id").distinct().withColumn("hit", F.lit(True))
-    seen = asked.join(near, ["doc_id", "person", "id"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    yes, hit = F.col("verdict") == "accepted", F.col("hit")
-    out = seen.groupBy("doc_id").agg(F.count_if(yes & hit).alias("accept_hit"), F.count_if(yes & ~hit).alias("accept_miss"), F.count_if(~yes & hit).alias("reject_hit"), F.count_if(~yes & ~hit).alias("reject_avoided"))
-    return out.withColumn("agreement", share(F.col("accept_hit") + F.col("reject_avoided"), F.col("accept_hit") + F.col("accept_miss") + F.col("reject_hit") + F.col("reject_avoided")))
+    near = asked.select("doc_id", "id", "norm").distinct().join(named, ["doc_id", "id"]).where(fuzzy.equal_udf("norm", "p_norm")).select("doc_id", "id", "norm").distinct().withColumn("hit", F.lit(True))
+    return counted(asked.join(near, ["doc_id", "id", "norm"], "left").withColumn("hit", F.coalesce("hit", F.lit(False))), ["doc_id"])
 
 
 def null_reference(counts: DataFrame, by: list[str]) -> DataFrame:

@@ -129,7 +129,7 @@ def triples_round_trip(spark, sf_dir):
     return E.records(t, ["status", "priority"])
 
 
-@register("turtle_blocks", r"""SELECT n_name AS s, '<' || n_name || '>' || chr(10) || '    inRegion <' || r_name || '> ;' || chr(10) || '    label "' || lower(n_name) || '" .' AS block FROM nation JOIN region ON n_regionkey = r_regionkey""")
+@register("turtle_blocks", r"""SELECT n_name AS s, '<' || n_name || '>' || chr(10) || '    :inRegion <' || r_name || '> ;' || chr(10) || '    :label "' || lower(n_name) || '" .' AS block FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def turtle_blocks(spark, sf_dir):
     n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return E.serialised(E.triples(n, F.col("n_name"), [("label", F.lower("n_name"), "literal"), ("inRegion", F.col("r_name"), "iri")]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from ..operators import evidence
 
 
 def documents(people: DataFrame, links: DataFrame, path: str) -> None:
-    """One JSON record a document with its persons and links, partitioned by document."""
+    """One JSON line a document with its persons and links."""
     p = people.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", *[c for c in people.columns if c not in ("doc_id", "pos")]))).alias("persons"))
     k = links.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", *[c for c in links.columns if c not in ("doc_id", "pos", "candidates")]))).alias("links"))
     p.join(k, "doc_id", "left").write.mode("overwrite").json(path)
@@ -33,11 +34,16 @@ def checked(objects: DataFrame, path: str) -> None:
     objects.select(canonical_json(*objects.columns).alias("value")).write.mode("overwrite").text(path)
 
 
-PREFIXES = "@prefix crm: <http://www.cidoc-crm.org/cidoc-crm/> .\n@prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .\n@prefix xsd: <http://www.w3.org/2001/XMLSchema#> .\n"
+def turtle(graph: DataFrame, path: str, base: str = evidence.BASE) -> None:
+    """Turtle blocks as text files, each of which begins with the prefixes."""
+    header = evidence.turtle_header(base)
 
+    def run(batches):
+        yield pa.RecordBatch.from_pydict({"value": [header]})
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0)], ["value"])
 
-def turtle(graph: DataFrame, path: str) -> None:
-    evidence.serialised(graph).select("block").write.mode("overwrite").text(path)
+    evidence.serialised(graph).select("block").mapInArrow(run, "value string").write.mode("overwrite").text(path)
 
 
 def publish(objects: DataFrame, mentions: DataFrame, accepted: DataFrame, path: str) -> None:
