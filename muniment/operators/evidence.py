@@ -11,8 +11,6 @@ from ..functions import text as T
 
 # Vocabularies of the evidence schema.
 TYPES = ("Work", "SourceSnapshot", "Passage", "Mention", "Identity", "IdentityGroup", "Assertion", "ResolutionHypothesis", "ResolutionDecision", "Activity", "Place")
-CERTAINTY = ("explicit", "probable", "possible", "uncertain")
-POLARITY = ("affirmed", "denied", "unknown")
 DECISION_STATUS = ("accepted", "rejected", "unresolved", "superseded")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -111,10 +113,20 @@ def selection_metrics(events: DataFrame, by: list[str]) -> DataFrame:
     return events.groupBy(*by).agg(F.count(F.lit(1)).alias("events"), share(F.count_if(decided), F.count(F.lit(1))).alias("coverage"), share(F.count_if(F.col("human") == F.col("automatic")), F.count_if(decided)).alias("agreement"), F.round(F.avg(F.when(decided, F.col("regret"))), 4).alias("mean_regret"))
 
 
-def selection_errors(candidates: Column, automatic: Column, human: Column, keys: Column, forbidden: tuple[str, ...] = ("email", "ip", "name")) -> Column:
-    """Why a selection event is not valid: choices outside the candidates, forbidden keys."""
+# Keys that would pass off a selection as the truth.
+TRUTH_CLAIMS = ("ground_truth", "gold")
+
+
+def selection_errors(candidates: Column, automatic: Column, human: Column, event: Column) -> Column:
+    """Why a selection event is not valid: choices outside the candidates, a key of TRUTH_CLAIMS at any depth of its JSON."""
     bad = lambda c: c.isNotNull() & ~F.array_contains(candidates, c)
-    return F.array_compact(F.array(F.when(bad(automatic), "automatic"), F.when(bad(human), "human"), F.when(F.exists(keys, lambda k: F.lower(k).isin(*forbidden)), "forbidden_key")))
+    claimed = event.rlike(rf'(?i)(?<!\\)"(?:{"|".join(TRUTH_CLAIMS)})"\s*:')
+    return F.array_compact(F.array(F.when(bad(automatic), "automatic"), F.when(bad(human), "human"), F.when(claimed, "forbidden_key")))
+
+
+def stacked(counts: dict[str, DataFrame]) -> DataFrame:
+    """Frames of equal columns under one another, tagged by type."""
+    return reduce(DataFrame.unionByName, [df.withColumn("type", F.lit(k)) for k, df in counts.items()])
 
 
 def noise_jumps(history: DataFrame, by: str, value: str, most: float = 0.10, part: list[str] | None = None) -> DataFrame:

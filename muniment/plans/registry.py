@@ -21,7 +21,7 @@ def register(name: str, oracle: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    from . import authority_queries, decision_queries, graph_queries, model_queries, review_queries, text_queries  # noqa: F401
+    from . import authority_queries, decision_queries, evidence_queries, graph_queries, model_queries, review_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:

@@ -113,14 +113,14 @@ def worksheet_blocks(spark, sf_dir):
     return R.repair_lines(R.repair_rows(R.accepts(_votes(spark, sf_dir)), seen, seen, authority)).where("block LIKE '### %(**names differ**)%'").groupBy("person").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("accepted_identity", "SELECT l_orderkey % 500 AS mention_id, arg_max(l_suppkey, (l_orderkey * 10 + l_linenumber)) AS candidate_id FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_suppkey) WHERE l_returnflag = 'A' GROUP BY 1")
+@register("accepted_identity", "SELECT l_orderkey % 500 AS mention_id, arg_max(l_suppkey, (l_orderkey * 10 + l_linenumber)) AS candidate_id FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_suppkey, l_returnflag) WHERE l_returnflag = 'A' GROUP BY 1")
 def accepted_identity(spark, sf_dir):
     i = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_suppkey", "l_returnflag")).alias("x"))
     d = i.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.col("l_orderkey").alias("hypothesis_id"), F.col("x.l_suppkey").alias("candidate_id"), F.when(F.col("x.l_returnflag") == "A", "accepted").otherwise("rejected").alias("status"))
     return R.accepted_identity(d, i.select(F.col("l_orderkey").alias("id"), (F.col("l_orderkey") % 500).alias("mention_id")).distinct())
 
 
-@register("evidence_view", """SELECT o_orderkey AS id, (SELECT min(c_custkey) FROM customer WHERE c_custkey = o_custkey AND o_orderstatus = 'O') AS mention_id, 'text ' || o_custkey AS passages, o_orderpriority AS agent, (SELECT count(*) FROM customer WHERE c_custkey = o_custkey AND o_orderstatus = 'O') AS candidates FROM orders""")
+@register("evidence_view", """SELECT o_orderkey AS id, coalesce((SELECT min(c_custkey) FROM customer WHERE c_custkey = o_custkey AND o_orderstatus = 'O'), -1) AS mention_id, 'text ' || o_custkey AS passages, o_orderpriority AS agent, (SELECT count(*) FROM customer WHERE c_custkey = o_custkey AND o_orderstatus = 'O') AS candidates FROM orders""")
 def evidence_view(spark, sf_dir):
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     a = o.select(F.col("o_orderkey").alias("id"), "o_custkey", F.when(F.col("o_orderstatus") == "O", F.concat(F.lit("n"), F.col("o_custkey").cast("string"))).otherwise("none").alias("object"), F.array("o_custkey").alias("passage_ids"), F.col("o_orderpriority").alias("activity_id"))
@@ -129,4 +129,4 @@ def evidence_view(spark, sf_dir):
     p = keys.select(F.col("k").alias("id"), F.concat(F.lit("text "), F.col("k").cast("string")).alias("text"))
     act = o.select(F.col("o_orderpriority").alias("id"), F.col("o_orderpriority").alias("agent")).distinct()
     h = c.select(F.col("c_custkey").alias("mention_id"), F.array(F.lit("x")).alias("candidates"))
-    return R.evidence_view(a, m, p, act, h).select("id", "mention_id", F.array_join("passages", ",").alias("passages"), "agent", F.coalesce(F.size("candidates"), F.lit(0)).cast("long").alias("candidates"))
+    return R.evidence_view(a, m, p, act, h).select("id", F.coalesce("mention_id", F.lit(-1)).alias("mention_id"), F.array_join("passages", ",").alias("passages"), "agent", F.coalesce(F.size("candidates"), F.lit(0)).cast("long").alias("candidates"))
