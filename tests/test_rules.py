@@ -28,3 +28,7 @@ def against_sql(spark, path, name):
 
 def test_problem_reasons_of_letters_beyond_ascii(spark, odd_lines):
     against_sql(spark, odd_lines, "problem_reasons")
+
+
+def test_penalties_of_letters_beyond_ascii(spark, odd_lines):
+    against_sql(spark, odd_lines, "penalised_confidence")
