@@ -32,3 +32,7 @@ def test_problem_reasons_of_letters_beyond_ascii(spark, odd_lines):
 
 def test_penalties_of_letters_beyond_ascii(spark, odd_lines):
     against_sql(spark, odd_lines, "penalised_confidence")
+
+
+def test_noise_statistics_of_letters_beyond_ascii(spark, odd_lines):
+    against_sql(spark, odd_lines, "noise_statistics")
