@@ -9,11 +9,11 @@ passes with near certainty, leaves few unlike pairs to the check of whole sets.
    of equal sets form a class; its smallest id stands for it.
 2. Bands: BANDS keys, each of ROWS minima under permutations of their own. Two texts of similarity s share
    a key with probability 1 - (1 - s^ROWS)^BANDS: 0.9999 at 0.8, more above; at 0.4, 0.03.
-3. Candidates: in each bucket of a key, all texts against its leader, the smallest id, a few bands at first and
-   more as the texts get fewer. Texts found to be near copies of a smaller id leave, so that a large group costs
-   a few rows a text; then leaders leave too, and while a bucket has more than ALL_PAIRS texts left (unlike
-   ones, as near copies have left), some LEADERS of it are compared with the others again; then all pairs of
-   the rest are. So of two texts that share a key, one leaves or they are compared, whatever the bucket's size.
+3. Candidates: in each bucket of a key, all texts against its leader, the smallest id, a few bands at first and then
+   more; then, while a bucket of several components has more than ALL_PAIRS texts, some LEADERS of it against the
+   others, after which they leave the bucket; then all pairs of the rest. Only texts that links join already aren't
+   compared: their component is known, so a large group of near copies costs a few rows a text, and a text that is
+   near to any of them, not to its smallest, is still met by it.
 4. Comparison: candidate pairs stand 64 to a machine word in the bit planes of both fingerprints; carry-save
    counters count the differing planes, and words with no pair within RADIUS bits are abandoned.
 5. Check: each pair that is left, the shared part of both whole sets, exactly.
@@ -108,38 +108,42 @@ def _checked(texts: DataFrame, pairs: DataFrame, width: int, similarity: float)
 
 
 def _links(texts: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame | None:
-    """(a, b), a < b: similar pairs of rows (band, key, doc_id, n, f, g), enough that of each similar pair that shares a
-    key one is the larger of some pair."""
+    """(a, b): of rows (band, key, doc_id, n, f, g) each doc_id b that links of similar pairs which share a key join to smaller
+    ones, and a, the smallest that they reach. Only pairs that earlier links join already are not compared."""
     links, tested, turn = None, None, 0
+    rows = rows.withColumn("c", F.col("doc_id"))  # the smallest doc_id reached so far
     while True:
         first = turn < len(GROUPS)
         now = rows.where(F.col("band") < GROUPS[turn]) if first else rows
-        sizes = now.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-        met = common.durable(now.join(sizes, "key"))
+        # In a bucket of one component nothing is left to compare; the leaders of others come from outside the largest.
+        parts = now.groupBy("key", "c").agg(F.count(F.lit(1)).alias("some"))
+        sizes = parts.groupBy("key").agg(F.sum("some").alias("many"), F.max_by("c", F.struct("some", "c")).alias("most"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
+        met = common.durable(now.join(sizes.select("key", "many", "most"), "key"))
         largest = met.agg(F.max("many")).first()[0]
         last = not first and (largest or 0) <= ALL_PAIRS
         if largest:
             if last:
-                lead = met.select("key", F.col("doc_id").alias("l"), F.col("n").alias("m"), F.col("f").alias("lf"), F.col("g").alias("lg"))
+                lead = met.select("key", F.col("doc_id").alias("l"), F.col("n").alias("m"), F.col("f").alias("lf"), F.col("g").alias("lg"), F.col("c").alias("lc"))
             else:
                 # In a turn over some bands, only keys of new bands have new leaders: old ones' pairs are in `tested`.
                 some = met if first else met.where(F.col("many") > ALL_PAIRS)
                 some = some.where(F.col("band") >= GROUPS[turn - 1]) if first and turn else some
-                lead = some.groupBy("key", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 if first else LEADERS)).alias("part")).agg(F.min(F.struct("doc_id", "n", "f", "g")).alias("x"))
-                lead = common.durable(lead.select("key", F.col("x.doc_id").alias("l"), F.col("x.n").alias("m"), F.col("x.f").alias("lf"), F.col("x.g").alias("lg")))
+                order = F.struct(F.lit(False) if first else F.col("c") == F.col("most"), "doc_id", "n", "f", "g", "c")
+                lead = some.groupBy("key", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 if first else LEADERS)).alias("part")).agg(F.min(order).alias("x"))
+                lead = common.durable(lead.select("key", F.col("x.doc_id").alias("l"), F.col("x.n").alias("m"), F.col("x.f").alias("lf"), F.col("x.g").alias("lg"), F.col("x.c").alias("lc")))
             near = F.least("n", "m") >= F.greatest("n", "m") * F.lit(similarity) - F.lit(1e-9)  # sets of other sizes can't be similar
-            pairs = met.join(lead, "key").where(near & ((F.col("doc_id") > F.col("l")) if last else (F.col("doc_id") != F.col("l"))))
+            pairs = met.join(lead, "key").where(near & (F.col("c") != F.col("lc")) & ((F.col("doc_id") > F.col("l")) if last else (F.col("doc_id") != F.col("l"))))
             pairs = pairs.select(F.least("doc_id", "l").alias("a"), F.greatest("doc_id", "l").alias("b"), "f", "g", "lf", "lg")
             pairs = pairs.mapInArrow(close, "a long, b long").distinct()
             pairs = common.durable(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
             new = _checked(texts, pairs, width, similarity)
-            links = new if links is None else links.unionAll(new)
+            links = simhash.components(new if links is None else links.unionAll(new)).select(F.col("component").alias("a"), F.col("node").alias("b"))
             tested = pairs if tested is None else tested.unionAll(pairs)
         if last:
             return links
         if largest:
-            gone = common.if_small(common.durable(new.select(F.col("b").alias("doc_id")).distinct()), IDS)
-            rows = rows.join(gone, "doc_id", "left_anti")
+            joined = common.if_small(links.select(F.col("b").alias("doc_id"), F.col("a").alias("to_")), IDS)
+            rows = rows.join(joined, "doc_id", "left").withColumn("c", F.coalesce("to_", "c")).drop("to_")
             if not first:  # leaders have been compared with all that is left of their buckets
                 rows = rows.join(lead.select("key", F.col("l").alias("doc_id")), ["key", "doc_id"], "left_anti")
             rows = common.durable(rows)
@@ -172,5 +176,5 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     links = _links(texts, common.durable(rows.join(shared, "key").select("band", "key", "doc_id", "n", "f", "g")), width, similarity)
     named = first.withColumn("component", F.lit(None).cast("long"))
     if links is not None:
-        named = first.join(simhash.components(links).select(F.col("node").alias("first"), "component"), "first", "left")
+        named = first.join(links.select(F.col("b").alias("first"), F.col("a").alias("component")), "first", "left")
     return told.select("doc_id", "digest").join(named.select("digest", F.coalesce("component", "first").alias("component_id")), "digest").select("doc_id", "component_id")

@@ -53,6 +53,19 @@ def test_unlike_texts_of_one_bucket(spark, monkeypatch):
     assert gone == {i for i, _ in rows if i % 10}
 
 
+def test_components_reach_through_a_copy(spark):
+    """A is near B and B near C, A and C are not near: one component, whichever of them has the smallest id."""
+    base = [f"w{i}" for i in range(200)]
+    b = ["x" if i in (20, 40, 60) else w for i, w in enumerate(base)]
+    c = ["y" if i in (90, 110, 130, 150) else w for i, w in enumerate(b)]
+    a, b, c = (" ".join(x) for x in (base, b, c))
+    assert brute_similarity(a, b) >= 0.8 and brute_similarity(b, c) >= 0.8 and brute_similarity(a, c) < 0.8
+    for ids in ((1, 2, 3), (2, 1, 3), (1, 3, 2), (2, 3, 1)):
+        docs = spark.createDataFrame(list(zip(ids, (a, b, c), strict=True)), "doc_id long, text string")
+        assert {r["doc_id"]: r["component_id"] for r in S.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 1}
+    assert kept_by_stage(spark, list(zip((1, 2, 3), (a, b, c), strict=True))) == {1}
+
+
 def test_odd(odd, none):
     got = {r["doc_id"]: r["component_id"] for r in S.near_duplicates(odd).collect()}
     assert got[3] == got[2] == 1 and got[8] == 6 and got[5] == 4 and got[9] == 9 and None not in got
