@@ -98,3 +98,25 @@ def test_rows_of_one_id(spark):
     assert kept == ["", "a0", "b0", "c0"]
     judged = dict(P.STAGES)["quality rules"](spark, docs, "").collect()
     assert len(judged) == 6 and "" not in {r["text"] for r in judged}
+
+
+def test_large_group_gives_few_rows(spark):
+    """A group of 300 texts that are alike but not near, with chains of near ones: right components, compared in tiles that give
+    fewer links than texts."""
+    rng, rows = random.Random(6), []
+    base = [f"w{i}" for i in range(120)]
+    for i in range(300):
+        mine = list(base)
+        for e in rng.sample(range(120), 1 + i % 12):
+            mine[e] = f"x{rng.randrange(4000)}"
+        rows.append((i, " ".join(mine)))
+    sets = [S.shingle_set(t) for _, t in rows]
+    label = np.arange(300)
+    pairs = [(i, j) for i in range(300) for j in range(i + 1, 300) if 1.0 * len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.8]
+    label = simhash.merge(label, *(np.array(x) for x in zip(*pairs, strict=True)))
+    assert len(pairs) > 400 and len(set(label.tolist())) > 100
+    fps = np.array([S.fingerprint(x) for x in sets], np.uint64)
+    member, root = S.tile_links(sets, fps, 0, 0.8)
+    assert len(member) < 300 and {m: r for m, r in zip(member, root, strict=True)} == {m: label[m] for m in range(300) if label[m] != m}
+    got = {r["doc_id"]: r["component_id"] for r in S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(label.tolist()))
