@@ -36,3 +36,10 @@ def test_penalties_of_letters_beyond_ascii(spark, odd_lines):
 
 def test_noise_statistics_of_letters_beyond_ascii(spark, odd_lines):
     against_sql(spark, odd_lines, "noise_statistics")
+
+
+def test_noise_share_of_many_lines(spark, tmp_path):
+    """Shares that lie between two of four decimals, whose product with 10,000 does not."""
+    parts = [(7, 800), (57, 800), (137, 800), (1, 800), (3, 160), (1, 32)]
+    spark.createDataFrame([(n, "\n".join(["source"] * k + ["Baldwin Rodes"] * (m - k))) for n, (k, m) in enumerate(parts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    against_sql(spark, str(tmp_path), "noise_statistics")
