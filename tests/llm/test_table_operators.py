@@ -114,9 +114,18 @@ def test_seeds_are_chosen_by_value():
     assert len(passages.seeds(np.zeros(3, np.uint32))[0]) == 0
 
 
-def test_matched_in_order():
-    h, doc, at = (np.array(x) for x in ([1, 1, 1, 1, 1, 2, 3, 3], [4, 4, 7, 7, 7, 7, 1, 9], [10, 20, 1, 2, 3, 5, 6, 0]))
-    assert list(zip(*(x.tolist() for x in passages.matched(h, doc, at)))) == [(7, 4, 1, 10), (7, 4, 2, 20), (7, 4, 3, 20), (9, 1, 0, 6)]
+def test_all_pairs_of_a_passage(spark):
+    """Each pair that shares a passage is found: behind other texts that have single seeds of it, and where its words
+    occur earlier in the text."""
+    rng = random.Random(21)
+    text = lambda n: [f"w{rng.randrange(100000)}" for _ in range(n)]
+    passage = text(70)
+    rows = [(i, " ".join(text(30) + passage + text(30))) for i in (1, 50, 51, 99)]
+    rows += [(2 + i, " ".join(text(40) + passage[i : i + 14] + text(40))) for i in range(40)]  # too little of it for a link
+    rows += [(70, " ".join(passage[:30] + text(60) + passage[40:] + text(50) + passage + text(20)))]
+    got = {(r["doc_id"], r["partner_id"]) for r in passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    whole = [1, 50, 51, 70, 99]
+    assert got == {(i, j) for i in whole for j in whole if i > j}
 
 
 def edited(rng, words, share, new):
