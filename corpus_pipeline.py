@@ -9,6 +9,9 @@ stays, or where ids are missing or repeated, of the smallest hash; an empty tabl
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,17 @@ from muniment.llm import common, mixing, packing, pii, quality, shingles
 IDS = 200_000
 
 
+def _stage(run: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that begins with small heaps, whatever the executors have run before."""
+
+    @functools.wraps(run)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.free_heaps(spark)
+        return run(spark, docs, sf_dir)
+
+    return begun
+
+
 def _keyed(docs: DataFrame) -> tuple[DataFrame, str, bool]:
     """docs with a column that names its rows, the column's name, and whether the names are ids: a hash of id, text,
     language and source where ids are missing or repeated, by which only repeated rows share a name."""
@@ -33,6 +47,7 @@ def _without(keyed: DataFrame, rows: DataFrame, name: str) -> DataFrame:
     return keyed.join(common.if_small(common.durable(rows.select(name).distinct()), IDS), name, "left_anti")
 
 
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality rules reject: no words, too many repeated ones, outliers. A short text
     says too little to be an outlier, and shortness alone rejects none here."""
@@ -40,6 +55,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _without(keyed, quality.judged(keyed, min_words=1, also=(name,)).where(~F.col("kept")), name).select(docs.columns)
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, that of the smallest name by _keyed(); of repeated rows one. Documents are
     near-duplicates from a similarity of 0.8 of their sets of five-word shingles; op1_simhash's settings are its own."""
@@ -49,17 +65,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return (kept if unique else kept.dropDuplicates([name])).select(docs.columns)
 
 
+@_stage
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind."""
     out = pii.masked(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: documents as often as their source's target takes them."""
     return mixing.mixed(docs)
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents and their places in sequences; a document taken twice is packed twice."""
     return packing.pack(docs)

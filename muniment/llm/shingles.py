@@ -127,6 +127,7 @@ def _links(texts: DataFrame, rows: DataFrame, width: int, similarity: float) ->
 
     met = texts.join(common.if_small(nodes, IDS), "doc_id").select("doc_id", "group", "text")
     stored = met = common.durable(met.mapInArrow(read, "doc_id long, group long, digest string, f long, g long, found binary").where(F.length("found") > 0))
+    common.free_heaps(texts.sparkSession)
     if not met.groupBy("doc_id", "digest").count().where("count > 1").isEmpty():  # repeated rows
         met = met.dropDuplicates(["doc_id", "digest"])
     chunks = F.greatest(F.least(F.ceil(F.col("many") / ALL_PAIRS), F.lit(CHUNKS)), F.ceil(F.col("many") / TILE)).cast("int")
@@ -170,6 +171,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.string()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "digest", "keys"])
 
     told = common.durable(texts.mapInArrow(run, "doc_id long, digest string, keys array<long>"))
+    common.free_heaps(docs.sparkSession)
     first = common.durable(told.groupBy("digest").agg(F.min("doc_id").alias("first")))
     alone = told.join(first.select("digest", F.col("first").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id", "digest"])
     rows = alone.select("doc_id", F.explode("keys").alias("key"))

@@ -220,6 +220,20 @@ def test_passages(spark, odd, none):
     assert passages.shared_passages(none).count() == 0
 
 
+def test_stages_begin_with_small_heaps(spark, odd):
+    """In local mode the driver's heap is the executor's: what earlier steps made it grow by goes back to the system."""
+    import corpus_pipeline
+
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    held = [spark._jvm.java.nio.ByteBuffer.allocate(1 << 28) for _ in range(5)]
+    grown = heap.totalMemory()
+    for x in held:
+        spark.sparkContext._gateway.detach(x)
+    del held, x
+    corpus_pipeline.mask_pii(spark, odd, "")
+    assert grown > 5 << 28 and heap.totalMemory() < grown - (3 << 28)
+
+
 def brute(rows, k=10):
     ok = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     out = {}
