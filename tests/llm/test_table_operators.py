@@ -151,6 +151,28 @@ def lcs(a, b):
     return row[-1]
 
 
+def test_frequent_line_stays_in_its_tile(spark, monkeypatch):
+    """A line of 60 texts gives no matches to store, but those of the two texts whose words around it agree too."""
+    rng = random.Random(21)
+    say = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(n))
+    line = next(x for x in iter(lambda: say(10), None) if len(passages.seeds(passages.word_codes(x))[0]) >= 2)
+    around = say(30), say(30)
+    rows = [(i, f"{say(60)} {around[0]} {line} {around[1]} {say(20)}" if i in (17, 44) else f"{say(60)} {line} {say(60)}") for i in range(60)]
+    stored, durable = [], common.durable
+    monkeypatch.setattr(common, "durable", lambda df: stored.append(durable(df)) or stored[-1])
+    got = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["partner_id"]) for r in got} == {(44, 17)} and got[0]["agreeing"] >= 66
+    made = [x for x in stored if x.columns == ["doc_id", "rdoc", "x", "y"]]  # its files are read no more
+    assert len(made) == 1 and {(r["doc_id"], r["rdoc"]) for r in made[0].collect()} == {(44, 17)}
+
+
+def test_seeds_of_one_repeated_word():
+    for w in range(1, 200):
+        at, h = passages.seeds(np.full(100, w, np.uint32))
+        assert all((h == v).sum() <= 14 for v in set(h.tolist()))
+        assert not len(at) or {0, *at.tolist()} >= {0, 8, 16} and at.max() in (96, 88)
+
+
 def test_recall_of_edited_passages(spark):
     """Pairs that brute-force alignment finds alike, edited at several rates, some of lines that occur earlier apart."""
     rng = random.Random(12)
