@@ -166,6 +166,13 @@ def test_frequent_line_stays_in_its_tile(spark, monkeypatch):
     assert len(made) == 1 and {(r["doc_id"], r["rdoc"]) for r in made[0].collect()} == {(44, 17)}
 
 
+def test_shared_words_bound_alignments():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 7, 60):
+        a, b = rng.integers(0, 9, n).astype(np.uint32), rng.integers(3, 12, 40).astype(np.uint32)
+        assert passages.shared_words(a, b) == sum(min((a == w).sum(), (b == w).sum()) for w in range(12)) >= passages.small_alignment(a, b)
+
+
 def test_seeds_of_one_repeated_word():
     for w in range(1, 200):
         at, h = passages.seeds(np.full(100, w, np.uint32))
