@@ -173,6 +173,53 @@ def test_shared_words_bound_alignments():
         assert passages.shared_words(a, b) == sum(min((a == w).sum(), (b == w).sum()) for w in range(12)) >= passages.small_alignment(a, b)
 
 
+def test_seeds_of_one_text_alone_are_not_stored(spark, monkeypatch):
+    """Texts that share no seed leave a row or less each in every stored table, whatever their length."""
+    rng = random.Random(8)
+    rows = [(i, " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(300))) for i in range(20)]
+    stored, durable = [], common.durable
+    monkeypatch.setattr(common, "durable", lambda df: stored.append(durable(df)) or stored[-1])
+    monkeypatch.setattr(common, "drop", lambda df: None)
+    assert passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+    assert len(stored) > 3 and all(x.count() <= 20 for x in stored)
+
+
+def test_many_alignments_are_those_of_single_chains():
+    rng = np.random.default_rng(6)
+    a, b, xs, ys = [], [], [], []
+    for _ in range(60):
+        one = rng.integers(0, 40, rng.integers(20, 250)).astype(np.uint32)
+        two = np.where(rng.random(len(one)) < rng.choice([0.0, 0.1, 0.3]), rng.integers(0, 40, len(one)), one).astype(np.uint32)
+        for at in rng.integers(0, len(two), rng.integers(0, 5)):
+            two = np.insert(two[: max(1, at - 2)], max(1, at - 2), [*rng.integers(0, 40, rng.choice([0, 1, 3, 70])), *two[at:]]).astype(np.uint32)
+        x, y = np.nonzero(passages.run_hashes(one, 4)[:, None] == passages.run_hashes(two, 4))
+        for c in passages.chains(x.tolist(), y.tolist())[:3]:
+            a.append(one)
+            b.append(two)
+            xs.append(x[c])
+            ys.append(y[c])
+    cuts = [np.cumsum([0, *map(len, v)]) for v in (a, b)]
+    a0, b0 = rng.integers(0, 90, len(a)), rng.integers(0, 90, len(a))
+    xs, ys = [x + s for x, s in zip(xs, a0, strict=True)], [y + s for y, s in zip(ys, b0, strict=True)]
+    of = np.repeat(np.arange(len(a)), [len(x) for x in xs])
+    got = passages.align_many(np.concatenate(a), np.concatenate(b), of, *cuts, a0, b0, np.concatenate(xs), np.concatenate(ys))
+    assert len(a) > 50 and list(map(tuple, got)) == [passages.align(p, q, s, u, x.tolist(), y.tolist()) for p, q, s, u, x, y in zip(a, b, a0, b0, xs, ys, strict=True)]
+
+
+@pytest.mark.parametrize("left", [0, 90])
+def test_supported_pairs_are_all(left, monkeypatch):
+    monkeypatch.setattr(passages, "BLOCK", 32)
+    rng = np.random.default_rng(4)
+    around = np.concatenate([passages.surroundings(rng.integers(0, 30, 80).astype(np.uint32), rng.integers(0, 77, 1)) for _ in range(150)])
+    doc = rng.integers(0, 100, 150)
+    for least in (25, 40):
+        i, j = passages.supported(around, doc, left, least)
+        held = [set(r.tolist()) - {0} for r in around]
+        # Numbers that fall together can only add a pair.
+        want = {(p, q) for p in range(left or 150) for q in range(left or p + 1, 150) if doc[p] != doc[q] and len(held[p] & held[q]) >= least}
+        assert want and want <= set(zip(i.tolist(), j.tolist(), strict=True)) and len(i) <= len(want) * 1.05
+
+
 def test_seeds_of_one_repeated_word():
     for w in range(1, 200):
         at, h = passages.seeds(np.full(100, w, np.uint32))
