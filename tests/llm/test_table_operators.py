@@ -235,6 +235,19 @@ def test_words_in_place():
         assert passages.in_place(around, np.array([0, 0]), np.array([1, 2]), 50, 13, 33).tolist() == [True, False]
 
 
+def test_rounds_change_no_passage(spark, monkeypatch):
+    rng = random.Random(5)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(n))
+    common_, rows = say(90), []
+    for i in range(12):
+        rows.append((i, f"{say(20 + i)} {common_ if i % 3 else 'de ' * (70 + 9 * i)} {say(15)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(map(tuple, passages.shared_passages(docs).collect()))
+    monkeypatch.setattr(passages, "MATCHES", 1)
+    monkeypatch.setattr(passages, "CHAINS", 1)
+    assert len({r[:4:3] for r in whole}) >= 28 + 6 and sorted(map(tuple, passages.shared_passages(docs).collect())) == whole
+
+
 def test_seeds_of_one_repeated_word():
     for w in range(1, 200):
         at, h = passages.seeds(np.full(100, w, np.uint32))
